@@ -91,6 +91,15 @@ def norms(strings: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(out, 1e-30))
 
 
+def all_norms(strings: list[np.ndarray]) -> np.ndarray:
+    out = np.empty(len(strings))
+    lengths = np.array([len(s) for s in strings])
+    for length in np.unique(lengths):
+        mine = np.flatnonzero(lengths == length)
+        out[mine] = norms(np.stack([strings[i] for i in mine]))
+    return out
+
+
 class Words:
     """The words of some texts in letters, digits and longer characters, all else taken out.
 
@@ -196,15 +205,15 @@ class Kernel:
 
     def __init__(self, landmarks: list[np.ndarray]):
         self.table = np.zeros((SIZE**3, len(landmarks)), np.float32)
-        for j, s in enumerate(landmarks):
+        for j, (s, size) in enumerate(zip(landmarks, all_norms(landmarks))):
             codes, w = coded(s[None])
-            np.add.at(self.table[:, j], codes[0], w / np.float32(norms(s[None])[0]))
+            np.add.at(self.table[:, j], codes[0], w / np.float32(size))
 
     def rows(self, strings: list[np.ndarray]) -> np.ndarray:
         out = np.empty((len(strings), self.table.shape[1]), np.float32)
-        for i, s in enumerate(strings):
+        for i, (s, size) in enumerate(zip(strings, all_norms(strings))):
             codes, w = coded(s[None])
-            out[i] = w @ self.table[codes[0]] / np.float32(norms(s[None])[0])
+            out[i] = w @ self.table[codes[0]] / np.float32(size)
         return out
 
 
@@ -234,64 +243,80 @@ def train_words(strings: list[np.ndarray], positive: np.ndarray, weight: np.ndar
 def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 8) -> Model:
     """The model from whole labelled texts, of which only some sentences are toxic.
 
-    Every word of a clean text is a negative example. Of a toxic text, the words
-    that clean texts hardly use and several toxic ones do are positive, with
-    copies that have a symbol put in, so that such forms are learned too. Later
-    rounds add the negatives that score highest.
+    Every word of a clean text is a negative example. Of the words that several
+    toxic texts use and clean ones hardly do, the most telling are taken until
+    each toxic text has two: those are positive, with copies that have a symbol
+    put in. (All such words would be too many: those of a toxic text with many
+    copies are common too.) Each round then adds the negatives that score
+    highest, and the words of toxic texts only that score as positive.
     """
     docs = Words(column)
     toxic = np.asarray(toxic, bool)
-    seen: dict[bytes, list[set]] = {}
+    seen: dict[bytes, tuple[float, float, np.ndarray]] = {}
     owner_of = docs.sentence_owner
     for strings, sentence in docs.items:
         unique, back = _unique(strings)
         pairs = np.unique(np.stack([back, owner_of[sentence]], 1), axis=0)
         in_toxic = np.bincount(pairs[:, 0], toxic[pairs[:, 1]], len(unique))
         in_clean = np.bincount(pairs[:, 0], ~toxic[pairs[:, 1]], len(unique))
-        for row, a, b in zip(unique, in_toxic, in_clean):
-            seen[row.tobytes()] = [a, b]
+        at = np.searchsorted(pairs[:, 0], np.arange(len(unique) + 1))
+        for i, (row, a, b) in enumerate(zip(unique, in_toxic, in_clean)):
+            seen[row.tobytes()] = (a, b, pairs[at[i] : at[i + 1], 1])
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
     if not n_toxic or not n_clean or not seen:
         return Model(None, _MIN_SCORE)
     names = sorted(seen)
-    count = np.array([seen[x] for x in names])
+    count = np.array([seen[x][:2] for x in names])
     odds = np.log((count[:, 0] + 0.5) / (n_toxic + 1)) - np.log((count[:, 1] + 0.5) / (n_clean + 1))
     sure = (count[:, 0] >= max(3, 0.002 * n_toxic)) & (odds > 3)
     if not sure.any():
         return Model(None, _MIN_SCORE)
-    positive = np.flatnonzero(sure)[np.argsort(-odds[sure], kind="stable")]
+    positive, told = [], np.zeros(docs.texts, int)
+    for i in np.flatnonzero(sure)[np.argsort(-odds[sure], kind="stable")]:
+        texts = seen[names[i]][2]
+        texts = texts[toxic[texts]]
+        if (told[texts] < 2).sum() >= 3:
+            positive.append(i)
+            told[texts] += 1
+    only = np.flatnonzero((count[:, 0] > 0) & (count[:, 1] == 0))
     negative = np.flatnonzero((count[:, 1] > 0) & (odds < 1))
     order = np.argsort([mix_int(hash_of(names[i])) for i in negative], kind="stable")
     frequent = negative[np.argsort(-count[negative, 1], kind="stable")[:1000]]
     chosen = list(dict.fromkeys([*frequent, *negative[order[:1000]]]))
     rng = np.random.default_rng(11)
-    strings = [np.frombuffer(names[i], np.uint8) for i in positive]
-    extra = []
-    for s in strings:
-        for _ in range(3):
-            extra.append(np.insert(s, rng.integers(1, len(s)), rng.integers(1, 28))[:WINDOW])
-    by_length: dict[int, list[int]] = {}
-    for i in negative:
-        by_length.setdefault(len(names[i]), []).append(i)
-    pools = [(np.array(m), np.stack([np.frombuffer(names[i], np.uint8) for i in m])) for m in by_length.values()]
-    model, hard = Model(None, _MIN_SCORE), []
+    rng = np.random.default_rng(11)
+    pools = []
+    for members in (negative, only):
+        by_length: dict[int, list[int]] = {}
+        for i in members:
+            by_length.setdefault(len(names[i]), []).append(i)
+        pools.append([(np.array(m), np.stack([np.frombuffer(names[i], np.uint8) for i in m])) for m in by_length.values()])
+
+    def above(model: Model, pool: list, least: float) -> list[tuple[int, float]]:
+        out = [(m[j], f[j]) for m, s in pool for f in [model.margins(s)] for j in np.flatnonzero(f > least)]
+        return sorted(out, key=lambda p: (-p[1], p[0]))
+
+    model, hard, extra = Model(None, _MIN_SCORE), [], []
     for _ in range(rounds):
+        strings = [np.frombuffer(names[i], np.uint8) for i in positive]
+        for s in strings[len(extra) // 3 :]:
+            extra += [np.insert(s, rng.integers(1, len(s)), rng.integers(1, 28))[:WINDOW] for _ in range(3)]
         neg = [np.frombuffer(names[i], np.uint8) for i in chosen]
-        every = [*strings, *extra, *neg]
-        first = len(strings) + len(extra)
-        flag = np.arange(len(every)) < first
-        weight = np.where(flag, np.where(np.arange(len(every)) < len(strings), 2.0, 1.0), 4.0)
+        every, first = [*strings, *extra, *neg], len(strings) + len(extra)
+        weight = np.where(np.arange(len(every)) < len(strings), 3.0, 1.0) / first
+        weight[first:] = 4 / len(neg)
         place = {i: first + j for j, i in enumerate(chosen)}
-        marks = [*range(min(len(strings), landmarks // 2)), *(place[i] for i in hard), *range(first, len(every), max(1, len(neg) // 64))]
-        model = train_words(every, flag, weight, np.array(list(dict.fromkeys(marks))[:landmarks]))
-        scored = [(m[j], f[j]) for m, s in pools for f in [model.margins(s)] for j in np.flatnonzero(f > -0.3)]
-        scored.sort(key=lambda p: (-p[1], p[0]))
+        marks = [*range(min(len(strings), landmarks // 2)), *(place[i] for i in hard if i in place), *range(first, len(every), max(1, len(neg) // 64))]
+        model = train_words(every, np.arange(len(every)) < first, weight, np.array(list(dict.fromkeys(marks))[:landmarks]))
+        scored = above(model, pools[0], -0.3)
         found = [i for i, _ in scored]
         hard = list(dict.fromkeys([*found, *hard]))
         new = [i for i in found if i not in place]
         if not new and (not scored or scored[0][1] < 0):
             break
         chosen += new[:1000]
+        have = set(positive)
+        positive += [i for i, f in above(model, pools[1], 0.5) if i not in have and count[i, 0] >= 2][:100]
     return model
 
 
@@ -308,14 +333,37 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     rows.sort(key=lambda r: (r.doc_id, r.text))
     if not rows:
         return Model(None, _MIN_SCORE)
-    return fit(pa.array([r.text for r in rows], pa.large_string()), np.array([r.label for r in rows]))
+    return calibrated(pa.array([r.text for r in rows], pa.large_string()), np.array([r.label for r in rows]))
+
+
+def calibrated(column: pa.Array, toxic: np.ndarray, clean_weight: float = 5.0) -> Model:
+    """A model of two thirds of the texts, whose bias the other third sets: a clean text lost counts clean_weight times a toxic one kept."""
+    toxic = np.asarray(toxic, bool)
+    held = np.zeros(len(toxic), bool)
+    for c in (True, False):
+        held[np.flatnonzero(toxic == c)[::3]] = True
+    model = fit(column.filter(pa.array(~held)), toxic[~held])
+    if model.weights is None:
+        return model
+    score, _, _, has = score_texts(model, column.filter(pa.array(held)))
+    score, y = score[has], toxic[held][has]
+    order = np.argsort(score, kind="stable")
+    score, y = score[order], y[order]
+    missed = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
+    wrong = 1 - np.concatenate([[0], np.cumsum(~y)]) / max(1, (~y).sum())
+    loss = missed + clean_weight * wrong
+    low, high = np.concatenate([[score[0] - 1], score]), np.concatenate([score, [score[-1] + 1]])
+    best = np.flatnonzero(np.isclose(loss, loss.min()))
+    best = best[np.argmax((high - low)[best])]
+    model.bias -= max(0.0, (low[best] + high[best]) / 2)
+    return model
 
 
 def score_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: worst score, sentences, toxic sentences, and whether it has a word."""
     docs = Words(column)
     n = docs.texts
-    worst = np.full(len(docs.sentence_owner), _MIN_SCORE)
+    worst = np.full(len(docs.sentence_owner), _MIN_SCORE if model.weights is None else model.bias)
     if model.weights is not None:
         for strings, sentence in docs.items:
             unique, back = _unique(strings)
