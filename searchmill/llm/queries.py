@@ -6,29 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality, toxicity
+from . import fingerprints, hnsw, html_extract, lang_id, minhash, packing, quality, sentencepieces, token_counts, toxicity
 from .shared import read_table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over `embeddings`."""
+    return hnsw.near_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_table(read_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over `pages`."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+OPERATORS = (
+    op1_language_id,
+    op2_quality,
+    op3_fingerprints,
+    op4_embedding_dedup,
+    op5_minhash_dedup,
+    op6_token_counts,
+    op7_packing,
+    op8_html_extraction,
+    op9_sentencepiece,
+    op10_toxicity,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op5_minhash_dedup, op7_packing, op10_toxicity)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: trained models, hashing, tokenizers and sampling are beyond SQL; tests/llm holds each query against brute force."""
     return {}
