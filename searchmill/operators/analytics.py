@@ -144,3 +144,24 @@ def source_health(outcomes: DataFrame) -> DataFrame:
     """healthy without failures or rest, crawling with a rest, else failing; successful needs something done."""
     state = F.when((F.col("failed") == 0) & (F.col("remaining") == 0), "healthy").when(F.col("remaining") > 0, "crawling").otherwise("failing")
     return outcomes.select("source_slug", state.alias("crawl_status"), (F.col("done") > 0).alias("successful"))
+
+
+def log_search_events(searches: DataFrame) -> DataFrame:
+    """Search rows as they are stored: the query in lower case; a search without a query isn't stored."""
+    s = searches.where(F.col("query") != "")
+    return s.select("search_id", F.lit("search").alias("event_type"), "session_id", F.lower("query").alias("query"), "results_count", "latency_ms")
+
+
+def filters_json(snapshot: dict[str, Column]) -> Column:
+    """The filters of a request as JSON, absent ones as null."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in snapshot.items()]), {"ignoreNullFields": "false"})
+
+
+def failures(logs: DataFrame) -> DataFrame:
+    return logs.where(F.col("error_message").isNotNull() | F.coalesce(F.col("status_code") >= 400, F.lit(False)))
+
+
+def source_lookup(docs: DataFrame, registry: DataFrame) -> DataFrame:
+    """Documents with their source's name, null if unknown, and authority, 0 if unknown."""
+    r = registry.select(F.col("slug").alias("source_slug"), F.col("name").alias("source_name"), "authority_weight")
+    return docs.drop("authority").join(r, "source_slug", "left").withColumn("authority", F.coalesce("authority_weight", F.lit(0.0)))

@@ -124,12 +124,34 @@ def page(found: DataFrame, keys: list[Column], number: int = 1, size: int = 10)
 def facets(docs: DataFrame, names=("source_slug", "content_type", "domain", "language"), cap: int = 50) -> DataFrame:
     """(facet, value, n): the most frequent values of each facet; arrays count by element."""
     kinds = dict(docs.dtypes)
-    parts = [F.transform(F.col(n), lambda v, n=n: F.struct(F.lit(n).alias("facet"), v.alias("value"))) if kinds[n].startswith("array") else F.array(F.struct(F.lit(n).alias("facet"), F.col(n).alias("value"))) for n in names]
+
+    def named(n: str) -> Column:
+        values = F.col(n) if kinds[n].startswith("array") else F.array(n)
+        return F.transform(values, lambda v: F.struct(F.lit(n).alias("facet"), v.alias("value")))
+
+    parts = [named(n) for n in names]
     counts = docs.select(F.explode(F.concat(*parts)).alias("f")).select("f.*").where("value is not null").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
     return counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).drop("r")
 
 
+def facet_first_seen(docs: DataFrame, name: str) -> DataFrame:
+    """(value, n, place): counts in the order in which values first occur, by id. The window runs over values, not documents."""
+    c = docs.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("at"))
+    return c.select("value", "n", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place"))
+
+
+def facet_options(listed: DataFrame, counts: DataFrame) -> DataFrame:
+    """The listed values (slug, position) with their facet counts, 0 for none."""
+    return listed.select("slug", "position").join(counts.select(F.col("value").alias("slug"), "n"), "slug", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def page_bounds(found: DataFrame, number: int, size: int) -> DataFrame:
+    """(total, pages, page): exact total, pages of it, at least one, and the page asked for, kept within them."""
+    t = found.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint"))
+    return t.withColumn("page", F.greatest(F.lit(1), F.least(F.lit(number), F.col("pages"))).cast("bigint"))
+
+
 def highlight(text: Column, terms: list[str]) -> Column:
     """Whole words that equal a term, in em tags; case is kept."""
     if not terms:
@@ -154,30 +176,41 @@ def why_matched(marked: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(c, F.lit("<em>")), F.lit(label)) for label, c in marked.items()]))
 
 
-SUGGESTIONS = (
-    ("react", ("useState", "useEffect", "components", "hooks")),
-    ("docker", ("Dockerfile", "compose", "volumes", "networks")),
-    ("python", ("asyncio", "dataclasses", "typing", "pathlib")),
-    ("css", ("flexbox", "grid", "media queries", "custom properties")),
-)
-DEFAULT_SUGGESTIONS = ("getting started", "tutorial", "api reference", "examples")
+SUGGESTIONS = {
+    "react": "useState|useEffect|Server Components|React hooks",
+    "next": "App Router|Server Components|API routes|getServerSideProps",
+    "typescript": "generics|utility types|type narrowing|decorators",
+    "postgres": "SELECT|JOIN|indexes|EXPLAIN ANALYZE",
+    "mdn": "fetch API|CSS grid|Array methods|Promise",
+    "javascript": "closures|async await|destructuring|modules",
+    "css": "flexbox|grid|custom properties|animations",
+    "html": "semantic HTML|accessibility|forms|canvas",
+}  # the first keyword that the query holds counts
+DEFAULT_SUGGESTIONS = "useState|async/await|SQL joins|TypeScript generics"
 
 
 def recovery_suggestions(q: Column, total: Column) -> Column:
     """What to try next when a query found nothing; [] when it found something or was empty."""
-    out = F.array(*[F.lit(s) for s in DEFAULT_SUGGESTIONS])
-    for word, values in reversed(SUGGESTIONS):
-        out = F.when(F.contains(F.lower(q), F.lit(word)), F.array(*[F.lit(v) for v in values[:4]])).otherwise(out)
-    return F.when((total == 0) & (F.trim(q) != ""), out).otherwise(F.array().cast("array<string>"))
+    out = F.lit(DEFAULT_SUGGESTIONS)
+    for word, values in reversed(SUGGESTIONS.items()):
+        out = F.when(F.contains(F.lower(q), F.lit(word)), F.lit(values)).otherwise(out)
+    return F.when((total == 0) & (q != ""), F.split(out, "[|]")).otherwise(F.array().cast("array<string>"))
 
 
-def demo_search(docs: DataFrame, q: str, where: Column | None = None, sort: str = "relevance") -> DataFrame:
+def demo_search(docs: DataFrame, q: str, where: Column | None = None, sort: str = "relevance") -> tuple[DataFrame, list[Column]]:
     """The offline mode: substring of all text fields; relevance is the boost score; dates don't filter."""
     low = F.lower(F.concat_ws(" ", "title", "meta_description", "body", F.array_join("tags", " ")))
     d = docs if where is None else docs.where(where)
     d = d.where(F.contains(low, F.lit(q.strip().lower()))) if q.strip() else d
     keys = {"newest": [F.desc_nulls_last("published_at")], "oldest": [F.asc_nulls_last("published_at")]}.get(sort, [F.desc_nulls_last("boost_score")])
-    return d.orderBy(*keys, "id")
+    return d, [*keys, F.asc("id")]
+
+
+def autocomplete_demo(docs: DataFrame, q: str, keep: int = 6) -> DataFrame:
+    """(title, id): the first distinct titles that hold q; nothing for an empty query."""
+    word = q.strip().lower()
+    titles = docs.select("id", F.trim("title").alias("title")).where(F.contains(F.lower("title"), F.lit(word)) & F.lit(word != ""))
+    return titles.groupBy("title").agg(F.min("id").alias("id")).orderBy("id").limit(keep)
 
 
 def autocomplete(docs: DataFrame, q: str, hits: int = 8, keep: int = 6) -> DataFrame:

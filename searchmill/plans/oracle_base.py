@@ -6,8 +6,8 @@ AS_OF = "TIMESTAMP '2024-02-05 00:00:00'"
 NORMAL = (
     "lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || "
     "CASE WHEN regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/$', '') END || "
-    "CASE WHEN len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), x -> x <> '' AND NOT regexp_matches(lower(x), '^(utm_|fbclid|gclid)'))) = 0 THEN '' "
-    "ELSE '?' || array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), x -> x <> '' AND NOT regexp_matches(lower(x), '^(utm_|fbclid|gclid)')), '&') END"
+    "CASE WHEN len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|fbclid|gclid)'))) = 0 THEN '' "
+    "ELSE '?' || array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|fbclid|gclid)')), '&') END"
 )
 
 VIEWS = f"""
