@@ -86,7 +86,7 @@ def display_url(url: Column) -> Column:
 def parse_datetime(x: Column) -> Column:
     """Lenient ISO date-time, a trailing Z accepted; null where it doesn't parse."""
     t = F.trim(x)
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00"))).cast("timestamp_ntz")
+    return F.when(t.rlike(r"^\d{4}(-\d\d){2}"), F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00"))).cast("timestamp_ntz")
 
 
 def content_type(url: Column, title: Column, pre_count: Column) -> Column:
@@ -102,7 +102,7 @@ def url_section_path(url: Column) -> Column:
     """Breadcrumb from URL segments: extension off, words capitalised, dull ones skipped; '' below two."""
     segments = F.filter(F.split(url_path(url), "/"), lambda s: s != "")
     words = F.transform(segments, lambda s: F.initcap(F.regexp_replace(F.regexp_replace(s, r"\.(html?|md)$", ""), "[-_]", " ")))
-    kept = F.filter(words, lambda s: ~F.lower(s).isin("docs", "en", "us", "current", "en-us", "en-gb", "latest") & (F.length(s) > 1))
+    kept = F.filter(words, lambda s: ~F.lower(s).isin("latest current docs us en en-gb en-us".split()) & (F.length(s) > 1))
     return F.when(F.size(kept) >= 2, F.array_join(F.slice(kept, 1, 4), " > ")).otherwise(F.lit(""))
 
 
@@ -158,7 +158,7 @@ def status_label(status: Column, other: str = "Pending") -> Column:
 
 
 def is_uuid(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), F.lit(False))
+    return F.coalesce(x.rlike(r"(?i)^\p{XDigit}{8}-\p{XDigit}{4}-[1-8]\p{XDigit}{3}-[89ab]\p{XDigit}{3}-\p{XDigit}{12}$"), F.lit(False))
 
 
 def decode_entities(x: Column) -> Column:

@@ -22,8 +22,9 @@ BODY_CHARS = 50_000  # of a body, by the record's definition
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "noscript", "template"))
 CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article nav footer header pre blockquote form aside main".split()), "li": frozenset(("li",)), "td": frozenset(("td", "tr")), "tr": frozenset(("tr",))}
-UPDATED = ("updated", "modified", "last edited", "edited")
-DULL = frozenset("docs en us current en-us en-gb latest".split())
+_PAGE_END = re.compile(r"\.(md|html?)$")
+UPDATED = ("modified", "updated", "edited")
+DULL = frozenset("latest current docs us en en-gb en-us".split())
 
 
 class Node:
@@ -135,7 +136,7 @@ def _breadcrumbs(url: str, nodes: list[Node], schema: dict) -> str:
             return " > ".join(crumbs[:5])
     crumbs = []
     for segment in filter(None, urlparse(url).path.split("/")):
-        name = re.sub(r"[-_]", " ", re.sub(r"\.(html?|md)$", "", segment)).title()
+        name = re.sub("[-_]", " ", _PAGE_END.sub("", segment)).title()
         if len(name) > 1 and name.lower() not in DULL:
             crumbs.append(name)
     return " > ".join(crumbs[:4]) if len(crumbs) >= 2 else ""

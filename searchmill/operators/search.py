@@ -43,7 +43,7 @@ def filters(
         parts.append(F.col("published_at") >= F.lit(published_from).cast("timestamp_ntz"))
     if published_to:
         parts.append(F.col("published_at") <= F.lit(published_to).cast("timestamp_ntz"))
-    days = {"7d": 7, "30d": 30, "90d": 90}.get(updated_within or "")
+    days = int(updated_within[:-1]) if updated_within in ("7d", "30d", "90d") else 0
     if days:
         parts.append(F.col("last_updated_at") >= as_of - F.make_dt_interval(F.lit(days)))
     return reduce(lambda a, b: a & b, parts, F.lit(True))

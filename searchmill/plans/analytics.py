@@ -16,8 +16,8 @@ CLICKED = f"(SELECT DISTINCT search_id, search_id AS clicked_id FROM clicks WHER
 LISTING = "SELECT r.slug, name, authority_weight, crawl_cadence_hours, crawl_status, coalesce(n, 0) AS doc_count FROM registry r LEFT JOIN (SELECT source_slug AS slug, count(*) AS n FROM docs WHERE status = 'indexed' GROUP BY 1) c ON r.slug = c.slug"
 STATIC = "(VALUES (0, 'src3'), (1, 'src1'), (2, 'src4'), (3, 'src15'), (4, 'src30')) AS s(position, slug)"
 MERGED = f"SELECT s.slug, coalesce(l.name, 'Static ' || s.slug[4:]) AS name, 'static ' || s.slug[4:] AS description, coalesce(doc_count, 0) AS doc_count, coalesce(crawl_status, 'seeded') AS crawl_status, s.position FROM {STATIC} LEFT JOIN ({LISTING}) l ON l.slug = s.slug"
-OUTCOMES = """SELECT source_slug, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status IN ('pending', 'processing')) AS remaining
-FROM queue WHERE source_slug IS NOT NULL AND (processed_at >= TIMESTAMP '2024-02-04 23:30:00' OR status IN ('pending', 'processing')) GROUP BY 1"""
+OUTCOMES = """SELECT source_slug, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = ANY(['processing', 'pending'])) AS remaining
+FROM queue WHERE source_slug IS NOT NULL AND (processed_at >= TIMESTAMP '2024-02-04 23:30:00' OR status = ANY(['processing', 'pending'])) GROUP BY 1"""
 SINCE = "2024-02-04 23:30:00"
 
 
@@ -101,7 +101,7 @@ def log_click_events(spark, d):
 
 
 STATUS = """SELECT 'documents' AS metric, count(*) AS value FROM docs UNION ALL SELECT 'indexed', count(*) FILTER (WHERE status = 'indexed') FROM docs
-UNION ALL SELECT 'queue_depth', count(*) FILTER (WHERE status IN ('pending', 'processing')) FROM queue UNION ALL SELECT 'crawl_failures', count(*) FILTER (WHERE error_message IS NOT NULL OR status_code >= 400) FROM crawl_logs"""
+UNION ALL SELECT 'queue_depth', count(*) FILTER (WHERE status = ANY(['processing', 'pending'])) FROM queue UNION ALL SELECT 'crawl_failures', count(*) FILTER (WHERE error_message IS NOT NULL OR status_code >= 400) FROM crawl_logs"""
 
 
 @query(STATUS)
@@ -109,7 +109,7 @@ def status_counts(spark, d):
     return A.status_counts(V.docs(spark, d), V.queue(spark, d), V.crawl_logs(spark, d))
 
 
-@query("SELECT count(*) AS queue_depth FROM queue WHERE status IN ('pending', 'processing')")
+@query("SELECT count(*) AS queue_depth FROM queue WHERE status = ANY(['processing', 'pending'])")
 def queue_depth(spark, d):
     return V.queue(spark, d).where(F.col("status").isin("pending", "processing")).agg(F.count(F.lit(1)).alias("queue_depth"))
 

@@ -57,7 +57,7 @@ def freshness_bucket(spark, d):
 
 
 @query("""SELECT page_id AS id, CASE WHEN regexp_matches(url, '(?i)^https?://[^?#]*/(blog|posts?|news|articles?)/') THEN 'blog'
-WHEN regexp_matches(html, '(?i)<title>[^<]*\\b(class|interface|type|namespace|enum|function|method|property)\\b') THEN 'reference' ELSE 'guide' END AS content_type FROM pages""", views=False)
+WHEN regexp_matches(html, '(?i)<title>[^<]*\\b(property|method|function|enum|namespace|type|interface|class)\\b') THEN 'reference' ELSE 'guide' END AS content_type FROM pages""", views=False)
 def content_type(spark, d):
     p = V.table(spark, d, "pages")
     return p.select(F.col("page_id").alias("id"), C.content_type(F.col("url"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit(0)).alias("content_type"))

@@ -6,17 +6,17 @@ import re
 from dataclasses import dataclass, field, replace
 from urllib.parse import parse_qs, urlencode
 
-CONTENT_TYPES = ("guide", "reference", "tutorial", "api", "blog")
+CONTENT_TYPES = tuple("guide reference tutorial api blog".split())
 SORTS = ("relevance", "newest", "oldest")
 WINDOWS = ("7d", "30d", "90d")
-LISTS = ("source", "content_type", "domain", "language", "tags")
-PARAMETERS = {"source": "source", "content_type": "contentType", "domain": "domain", "language": "language", "tags": "tags"}
+LISTS = tuple("source content_type domain language tags".split())
+PARAMETERS = {name: "contentType" if name == "content_type" else name for name in LISTS}
 QUERY_CHARS, LIST_ITEMS, ITEM_CHARS, MAX_PAGE, MAX_LIMIT = 200, 20, 100, 10_000, 50
-SEARCHABLE = ("title", "headings", "section_path", "source_name", "meta_description", "body", "tags")  # by falling weight
-RULES = ("words", "typo", "proximity", "attribute", "sort", "exactness", "authority_score:desc", "boost_score:desc")
+SEARCHABLE = tuple("title headings section_path source_name meta_description body tags".split())  # by falling weight
+RULES = (*"words typo proximity attribute sort exactness".split(), "authority_score:desc", "boost_score:desc")
 FACET_VALUES = 50
-_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
-_UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", re.I)
+_DAY = re.compile(r"\d{4}(-\d\d){2}")
+_UUID = re.compile(r"[a-f\d]{8}-[a-f\d]{4}-[1-8][a-f\d]{3}-[89ab][a-f\d]{3}-[a-f\d]{12}", re.I)
 
 
 @dataclass(frozen=True)

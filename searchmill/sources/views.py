@@ -12,7 +12,7 @@ from searchmill.functions import columns as C
 
 AS_OF = "2024-02-05 00:00:00"
 WINDOW_DAYS = 30
-CONTENT_TYPES = ("guide", "reference", "tutorial", "api", "blog")
+CONTENT_TYPES = tuple("guide reference tutorial api blog".split())
 CADENCES = (12, 48, 168, 336, 720, 1440)
 QUEUE_STATUSES = ("pending", "processing", "done", "failed", "skipped")
 

@@ -2,8 +2,8 @@ from pyspark.sql import functions as F
 
 from searchmill.operators import extract as X
 
-PAGE = """<!doctype html><html lang="en"><head><title> Sample
- Document </title><meta name="description" content="Example summary"><meta name="keywords" content="python, search,,engine">
+PAGE = """<!doctype html><html lang="en" class="x"><head><meta charset="utf-8"><title> Sample
+ Document </title><meta content="Example summary" name="description"><meta content="python, search,,engine" name="keywords">
 <link rel="canonical" href="https://example.com/canon"><meta property="article:published_time" content="bad"><meta name="date" content="2024-03-04">
 <script type="application/ld+json">{"@type": "Thing", "dateModified": "2024-05-06T07:08:09Z"}</script><script>var x = "<a href='/no'>";</script></head>
 <body><nav aria-label="Breadcrumbs"><a href="/">Home</a><a href="/docs">Docs</a></nav>
@@ -19,7 +19,7 @@ def test_sample_page(spark):
     r = one(spark, PAGE)
     assert (r.title, r.meta_description, r.language, r.canonical_url) == ("Sample Document", "Example summary", "en", "https://example.com/canon")
     assert r.links == ["https://example.com/", "https://example.com/docs", "https://example.com/next"]
-    assert r.headings == ["First"] and r.tags == ["python", "search", "engine"]
+    assert r.headings == ["First"] and r.tags == "python search engine".split()
     assert str(r.published_at) == "2024-03-04 00:00:00" and str(r.last_updated_at) == "2024-07-08 00:00:00"
     assert r.code_block_count == 3 and r.section_path == "Home > Docs"
     assert r.body.startswith("First One two three next code") and "foot" not in r.body and r.word_count == len(r.body.split())

@@ -79,7 +79,7 @@ def test_empty_insights(spark):
 def test_seed_configuration(spark):
     import pytest
 
-    config = {"defaults": {"max_depth": 1}, "sources": [{"slug": "a", "allowed_domains": ["X.org"], "seeds": [{"url": "https://x.org/docs/", "priority": 7}, {"url": "https://x.org/"}]}]}
+    config = {"defaults": {"max_depth": 1}, "sources": [{"slug": "a", "allowed_domains": ["X.org"], "seeds": [dict(url="https://x.org/docs/", priority=7), dict(url="https://x.org/")]}]}
     assert seeds.check(config) is config
     got = seeds.seeds_frame(spark, config).orderBy("arrival").collect()
     assert [(r.normalized_url, r.priority, r.source_slug) for r in got] == [("https://x.org/docs", 7, "a"), ("https://x.org/", 100, "a")]
