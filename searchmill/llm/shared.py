@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .textbytes import slices
 
+BATCH_BYTES = 4 << 20
 TOKENIZERS = "/opt/tokenizers"  # read by the driver only; executors get the bytes with the closure
 
 
@@ -44,8 +45,16 @@ def free(taken, *wanted: str) -> list[str]:
     return out
 
 
+def bound_batches() -> None:
+    """Arrow batches of BATCH_BYTES, unless the session names a size of its own: ten thousand texts at a time would take what memory their lengths ask for."""
+    conf = SparkSession.active().conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864"):  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_udf(fn: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
     """A column function that gives fn whole texts, some half megabyte at a time."""
+    bound_batches()
 
     def run(column: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([column], ["text"])
