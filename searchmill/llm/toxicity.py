@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import free, label_sample, sampled_texts, text_udf
-from .textbytes import WHITE, mix_int, text_bytes, words
+from .textbytes import WHITE, mix, mix_int, slices, span_hashes, text_bytes, words
 
 FIT_ROWS = 1500  # labelled documents of each class that training reads, at most
 LANDMARKS = 512
+NEAR = 0.6  # kernel with a clean word from which a word isn't given disguises
 DECAY = 0.7
 WINDOW, STRIDE = 20, 10  # of words longer than WINDOW symbols
 SIZE = 40  # symbols: 0 none, a-z, a digit, 13 for bytes of longer characters
@@ -123,6 +124,11 @@ class Words:
         self.texts = n
         self.word_owner = owner
         self.sentence = sentence
+        # a key for the symbols of each sentence, the same wherever it is copied
+        hashes = span_hashes(data, starts, lengths)
+        self.sentence_key = np.zeros(int(sentence[-1]) + 1 if len(sentence) else 0, np.uint64)
+        with np.errstate(over="ignore"):
+            np.add.at(self.sentence_key, sentence, hashes)
         self.sentence_owner = owner[np.concatenate([[True], sentence[1:] != sentence[:-1]])] if len(starts) else owner
         kept = symbols[symbols > 0]
         begin = plain[starts]
@@ -240,83 +246,111 @@ def train_words(strings: list[np.ndarray], positive: np.ndarray, weight: np.ndar
     return Model(kernel.table @ (root @ u[:-1]).astype(np.float32), float(u[-1]))
 
 
+def _parts(column: pa.Array):
+    """Words of some texts at a time, and their rows: many texts at once would take many times their size in working arrays."""
+    at = 0
+    for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
+        yield Words(part.column(0)), slice(at, at + part.num_rows)
+        at += part.num_rows
+
+
+def telling(in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Words that keep to toxic texts by more than chance.
+
+    If a word of k toxic and c clean places were spread evenly, k or more of them
+    would be toxic with a chance of at most exp(-(k+c) KL(k/(k+c), p)), p the toxic
+    share of texts; times the number of words, that must stay below 1/2. The odds
+    must be e^3 besides.
+    """
+    total = np.maximum(in_toxic + in_clean, 1)
+    p, q = n_toxic / (n_toxic + n_clean), in_toxic / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(q > 0, q * np.log(q / p), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p)), 0)
+    chance = np.where(q > p, -total * kl, 0.0)
+    odds = np.log((in_toxic + 0.5) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
+    return (chance + np.log(len(total)) < np.log(0.5)) & (odds > 3)
+
+
+def disguises(word: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """The word with a symbol put in, one doubled, one as a digit, and longer words with two symbols put in."""
+
+    def put(s: np.ndarray) -> np.ndarray:
+        return np.insert(s, rng.integers(1, len(s)), rng.integers(1, 28))
+
+    at = rng.integers(1, len(word))
+    digit = word.copy()
+    digit[rng.integers(1, len(word))] = 27
+    out = [*(put(word) for _ in range(5)), np.insert(word, at, word[at]), digit]
+    if len(word) >= 6:
+        out.append(put(put(word)))
+    return [w[:WINDOW] for w in out]
+
+
 def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 8) -> Model:
     """The model from whole labelled texts, of which only some sentences are toxic.
 
-    Every word of a clean text is a negative example. Of the words that several
-    toxic texts use and clean ones hardly do, the most telling are taken until
-    each toxic text has two: those are positive, with copies that have a symbol
-    put in. (All such words would be too many: those of a toxic text with many
-    copies are common too.) Each round then adds the negatives that score
-    highest, and the words of toxic texts only that score as positive.
+    Positive are the words that `telling` finds, with disguises of those that no
+    clean word comes near (a disguise would claim that word too). Places are
+    counted by different sentences, so copies of one text count once. Every word of
+    a clean text that isn't more frequent in toxic ones is a negative: at first the
+    most frequent ones and a hashed sample, then, round by round, those that score
+    highest.
     """
-    docs = Words(column)
     toxic = np.asarray(toxic, bool)
-    seen: dict[bytes, tuple[float, float, np.ndarray]] = {}
-    owner_of = docs.sentence_owner
-    for strings, sentence in docs.items:
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for docs, rows in _parts(column):
+        bad = toxic[rows][docs.sentence_owner]
+        for strings, sentence in docs.items:
+            by_length.setdefault(strings.shape[1], []).append((strings, docs.sentence_key[sentence], bad[sentence]))
+    names, counts = [], []
+    for parts in by_length.values():
+        strings, key, bad = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         unique, back = _unique(strings)
-        pairs = np.unique(np.stack([back, owner_of[sentence]], 1), axis=0)
-        in_toxic = np.bincount(pairs[:, 0], toxic[pairs[:, 1]], len(unique))
-        in_clean = np.bincount(pairs[:, 0], ~toxic[pairs[:, 1]], len(unique))
-        at = np.searchsorted(pairs[:, 0], np.arange(len(unique) + 1))
-        for i, (row, a, b) in enumerate(zip(unique, in_toxic, in_clean)):
-            seen[row.tobytes()] = (a, b, pairs[at[i] : at[i + 1], 1])
+        _, first = np.unique(mix(back.astype(np.uint64)) ^ key, return_index=True)
+        counts.append(np.stack([np.bincount(back[first], bad[first], len(unique)), np.bincount(back[first], ~bad[first], len(unique))], 1))
+        names += [row.tobytes() for row in unique]
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
-    if not n_toxic or not n_clean or not seen:
+    if not n_toxic or not n_clean or not names:
         return Model(None, _MIN_SCORE)
-    names = sorted(seen)
-    count = np.array([seen[x][:2] for x in names])
+    count = np.concatenate(counts)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    names, count = [names[i] for i in order], count[order]
     odds = np.log((count[:, 0] + 0.5) / (n_toxic + 1)) - np.log((count[:, 1] + 0.5) / (n_clean + 1))
-    sure = (count[:, 0] >= max(3, 0.002 * n_toxic)) & (odds > 3)
-    if not sure.any():
+    positive = np.flatnonzero(telling(count[:, 0], count[:, 1], n_toxic, n_clean))
+    if not len(positive):
         return Model(None, _MIN_SCORE)
-    positive, told = [], np.zeros(docs.texts, int)
-    for i in np.flatnonzero(sure)[np.argsort(-odds[sure], kind="stable")]:
-        texts = seen[names[i]][2]
-        texts = texts[toxic[texts]]
-        if (told[texts] < 2).sum() >= 3:
-            positive.append(i)
-            told[texts] += 1
-    only = np.flatnonzero((count[:, 0] > 0) & (count[:, 1] == 0))
+    positive = positive[np.argsort(-count[positive, 0], kind="stable")]
     negative = np.flatnonzero((count[:, 1] > 0) & (odds < 1))
-    order = np.argsort([mix_int(hash_of(names[i])) for i in negative], kind="stable")
-    frequent = negative[np.argsort(-count[negative, 1], kind="stable")[:1000]]
-    chosen = list(dict.fromkeys([*frequent, *negative[order[:1000]]]))
     rng = np.random.default_rng(11)
-    rng = np.random.default_rng(11)
-    pools = []
-    for members in (negative, only):
-        by_length: dict[int, list[int]] = {}
-        for i in members:
-            by_length.setdefault(len(names[i]), []).append(i)
-        pools.append([(np.array(m), np.stack([np.frombuffer(names[i], np.uint8) for i in m])) for m in by_length.values()])
-
-    def above(model: Model, pool: list, least: float) -> list[tuple[int, float]]:
-        out = [(m[j], f[j]) for m, s in pool for f in [model.margins(s)] for j in np.flatnonzero(f > least)]
-        return sorted(out, key=lambda p: (-p[1], p[0]))
-
-    model, hard, extra = Model(None, _MIN_SCORE), [], []
-    for _ in range(rounds):
-        strings = [np.frombuffer(names[i], np.uint8) for i in positive]
-        for s in strings[len(extra) // 3 :]:
-            extra += [np.insert(s, rng.integers(1, len(s)), rng.integers(1, 28))[:WINDOW] for _ in range(3)]
+    every_positive = [np.frombuffer(names[i], np.uint8) for i in positive]
+    hidden: list[np.ndarray] = []
+    hashed = np.argsort([mix_int(hash_of(names[i])) for i in negative], kind="stable")
+    frequent = negative[np.argsort(-count[negative, 1], kind="stable")[:1000]]
+    chosen = list(dict.fromkeys([*frequent, *negative[hashed[:1000]]]))
+    sized: dict[int, list[int]] = {}
+    for i in negative:
+        sized.setdefault(len(names[i]), []).append(i)
+    pool = [(np.array(m), np.stack([np.frombuffer(names[i], np.uint8) for i in m])) for m in sized.values()]
+    model, hard = Model(None, _MIN_SCORE), []
+    for number in range(rounds):
         neg = [np.frombuffer(names[i], np.uint8) for i in chosen]
-        every, first = [*strings, *extra, *neg], len(strings) + len(extra)
-        weight = np.where(np.arange(len(every)) < len(strings), 3.0, 1.0) / first
-        weight[first:] = 4 / len(neg)
-        place = {i: first + j for j, i in enumerate(chosen)}
-        marks = [*range(min(len(strings), landmarks // 2)), *(place[i] for i in hard if i in place), *range(first, len(every), max(1, len(neg) // 64))]
+        every, first = [*every_positive, *hidden, *neg], len(every_positive) + len(hidden)
+        weight = np.where(np.arange(len(every)) < len(every_positive), 6.0, 1.0)
+        weight[:first] /= weight[:first].sum()
+        weight[first:] = 4 / max(1, len(neg))
+        spot = {i: first + j for j, i in enumerate(chosen)}
+        marks = [*range(min(len(every_positive), landmarks // 2)), *(spot[i] for i in hard if i in spot), *range(first, len(every), max(1, len(neg) // 64))]
         model = train_words(every, np.arange(len(every)) < first, weight, np.array(list(dict.fromkeys(marks))[:landmarks]))
-        scored = above(model, pools[0], -0.3)
-        found = [i for i, _ in scored]
-        hard = list(dict.fromkeys([*found, *hard]))
-        new = [i for i in found if i not in place]
-        if not new and (not scored or scored[0][1] < 0):
+        scored = sorted(((m[j], f[j]) for m, s in pool for f in [model.margins(s)] for j in np.flatnonzero(f > -0.3)), key=lambda p: (-p[1], p[0]))
+        hard = list(dict.fromkeys([*(i for i, _ in scored), *hard]))
+        new = [i for i, _ in scored if i not in spot]
+        if not new and number:
             break
         chosen += new[:1000]
-        have = set(positive)
-        positive += [i for i, f in above(model, pools[1], 0.5) if i not in have and count[i, 0] >= 2][:100]
+        if not number:
+            near = Kernel(every_positive).rows([np.frombuffer(names[i], np.uint8) for i in hard[:1000]]).max(0, initial=0)
+            hidden = [w for s, k in zip(every_positive, near) if k < NEAR for w in disguises(s, rng)]
     return model
 
 
@@ -337,7 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
 
 def calibrated(column: pa.Array, toxic: np.ndarray, clean_weight: float = 5.0) -> Model:
-    """A model of two thirds of the texts, whose bias the other third sets: a clean text lost counts clean_weight times a toxic one kept."""
+    """A model of all texts, with the threshold that does best for a model of two thirds on the other third: a clean text lost counts clean_weight times a toxic one kept."""
     toxic = np.asarray(toxic, bool)
     held = np.zeros(len(toxic), bool)
     for c in (True, False):
@@ -345,7 +379,8 @@ def calibrated(column: pa.Array, toxic: np.ndarray, clean_weight: float = 5.0) -
     model = fit(column.filter(pa.array(~held)), toxic[~held])
     if model.weights is None:
         return model
-    score, _, _, has = score_texts(model, column.filter(pa.array(held)))
+    found = [score_texts(model, part.column(0)) for part in slices(pa.RecordBatch.from_arrays([column.filter(pa.array(held))], ["text"]), "text")]
+    score, has = (np.concatenate([f[k] for f in found]) for k in (0, 3))
     score, y = score[has], toxic[held][has]
     order = np.argsort(score, kind="stable")
     score, y = score[order], y[order]
@@ -353,10 +388,14 @@ def calibrated(column: pa.Array, toxic: np.ndarray, clean_weight: float = 5.0) -
     wrong = 1 - np.concatenate([[0], np.cumsum(~y)]) / max(1, (~y).sum())
     loss = missed + clean_weight * wrong
     low, high = np.concatenate([[score[0] - 1], score]), np.concatenate([score, [score[-1] + 1]])
+    # of the cuts that do best, the one nearest to the model's own zero, a little above the score below it
     best = np.flatnonzero(np.isclose(loss, loss.min()))
-    best = best[np.argmax((high - low)[best])]
-    model.bias -= max(0.0, (low[best] + high[best]) / 2)
-    return model
+    cuts = np.clip(0.0, low[best] + np.minimum(0.2, (high - low)[best] / 2), high[best])
+    final = fit(column, toxic)
+    if final.weights is None:
+        return model
+    final.bias -= max(0.0, cuts[np.argmin(np.abs(cuts))])
+    return final
 
 
 def score_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
