@@ -56,7 +56,7 @@ def extract_description(spark, d):
     return _parsed(spark, d).select("page_id", "meta_description")
 
 
-@query()
+@query(f"SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<h[123]>([^<]*)</h[123]>', 1), lambda x: trim(regexp_replace({ENTITIES.format('x')}, '\\s+', ' ', 'g'))), lambda x: x <> '') AS headings FROM pages", views=False)
 def extract_headings(spark, d):
     return _parsed(spark, d).select("page_id", "headings")
 
@@ -71,12 +71,16 @@ def extract_meta(spark, d):
     return _parsed(spark, d).select("page_id", "canonical_url", "schema_json")
 
 
-@query()
+BODY = f"""trim(regexp_replace({ENTITIES.format("replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(html, '<(article|main)[ >]') THEN regexp_extract(html, '(?s)<(article|main)[^>]*>(.*)</(article|main)>', 2) ELSE html END, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&copy;', '©')")}, '[\\s\\x{{00a0}}]+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, body, CASE WHEN body = '' THEN 0 ELSE len(string_split(trim(body), ' ')) END AS word_count, sha256(body) AS content_hash FROM (SELECT page_id, left({BODY}, 50000) AS body FROM pages)", views=False)
 def extract_body(spark, d):
     return _parsed(spark, d).select("page_id", "body", "word_count", "content_hash")
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN len(k) >= 2 THEN array_to_string(k[1:4], ' > ') ELSE '' END AS section_path FROM (SELECT page_id, list_filter(list_transform(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''),
+lambda x: upper(x[1]) || lower(regexp_replace(x[2:], '[.](md|html?)$', ''))), lambda x: length(x) > 1 AND lower(x) NOT IN ('docs', 'latest', 'current', 'us', 'en')) AS k FROM pages)""", views=False)
 def section_path(spark, d):
     return _parsed(spark, d).select("page_id", "section_path")
 
