@@ -332,21 +332,23 @@ def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
     for i in negative:
         sized.setdefault(len(names[i]), []).append(i)
     pool = [(np.array(m), np.stack([np.frombuffer(names[i], np.uint8) for i in m])) for m in sized.values()]
-    model, hard = Model(None, _MIN_SCORE), []
+    model, hard, stress = Model(None, _MIN_SCORE), [], {}
     for number in range(rounds):
         neg = [np.frombuffer(names[i], np.uint8) for i in chosen]
         every, first = [*every_positive, *hidden, *neg], len(every_positive) + len(hidden)
         weight = np.where(np.arange(len(every)) < len(every_positive), 6.0, 1.0)
         weight[:first] /= weight[:first].sum()
-        weight[first:] = 4 / max(1, len(neg))
+        weight[first:] = 4 / max(1, len(neg)) * np.array([stress.get(i, 1.0) for i in chosen])
         spot = {i: first + j for j, i in enumerate(chosen)}
         marks = [*range(min(len(every_positive), landmarks // 2)), *(spot[i] for i in hard if i in spot), *range(first, len(every), max(1, len(neg) // 64))]
         model = train_words(every, np.arange(len(every)) < first, weight, np.array(list(dict.fromkeys(marks))[:landmarks]))
         scored = sorted(((m[j], f[j]) for m, s in pool for f in [model.margins(s)] for j in np.flatnonzero(f > -0.3)), key=lambda p: (-p[1], p[0]))
         hard = list(dict.fromkeys([*(i for i, _ in scored), *hard]))
         new = [i for i, _ in scored if i not in spot]
-        if not new and number:
+        if number and not new and (not scored or scored[0][1] < 0):
             break
+        for i, f in scored:
+            stress[i] = stress.get(i, 1.0) * (4.0 if f > 0 else 1.0)  # one clean word among many toxic neighbours must count for as much as they do
         chosen += new[:1000]
         if not number:
             near = Kernel(every_positive).rows([np.frombuffer(names[i], np.uint8) for i in hard[:1000]]).max(0, initial=0)
