@@ -200,6 +200,30 @@ def test_large_groups_widen_the_beam():
     assert len(got & want) >= 0.95 * len(want)
 
 
+def crowded(rng, n, dim=128, spread=0.27, noise=0.29, copies=300):
+    """Vectors around one direction, nearly as near to each other as near copies are, and near copies of the first of them."""
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(unit(rng.normal(size=(1, dim))) + spread * rng.normal(size=(n, dim)) / np.sqrt(dim))
+    return x, unit(x[:copies] + noise * rng.normal(size=(copies, dim)) / np.sqrt(dim))
+
+
+def test_beam_is_settled_without_pairs_to_audit():
+    """Of a task's queries only some that its sample leaves out have near copies in the graph; they are found all the same."""
+    rng = np.random.default_rng(4)
+    x, copies = crowded(rng, 3000)
+    g = hnsw.Graph(x)
+    q = rng.normal(size=(1000, 128))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    audit = np.argsort(hnsw.mix(np.arange(len(q), dtype=np.uint64)), kind="stable")[: hnsw.AUDIT_ROWS]
+    q[np.setdiff1d(np.arange(len(q)), audit)[: len(copies)]] = copies
+    settled = {"beam": g.settled()} if hasattr(g, "settled") else {}
+    pairs = g.near(q.astype(np.float32), hnsw.THRESHOLD, **settled)
+    got = set(zip(np.concatenate([a for a, _ in pairs]).tolist(), np.concatenate([b for _, b in pairs]).tolist()))
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(q @ x.T >= hnsw.THRESHOLD))))
+    assert len(want) > 200 and not (q[audit] @ x.T >= hnsw.THRESHOLD).any()
+    assert len(got & want) >= 0.95 * len(want)
+
+
 def test_embedding_cases(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, 1.0]), (11, [float("inf"), 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("rep", "fine", "shard", "dim", "group_id")})
