@@ -224,6 +224,28 @@ def test_beam_is_settled_without_pairs_to_audit():
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_near_copies_between_shards(spark):
+    """Near copies planted over eight shards, pairs in a crowd and one group of two thousand, against all pairs."""
+    rng = np.random.default_rng(6)
+    x, copies = crowded(rng, 3000, spread=0.3, noise=0.28)
+    group = rng.normal(size=(1, 128)) + 0.1 * rng.normal(size=(2000, 128))
+    rows = np.concatenate([x, copies, group])
+    ids = rng.permutation(len(rows)).tolist()
+    near, want = brute_embeddings(dict(zip(ids, rows.tolist())), hnsw.THRESHOLD)
+    e = spark.createDataFrame(list(zip(ids, rows.tolist())), "vec_id long, embedding array<double>")
+    shards = -(-len(rows) // 700)
+    shard = {r.vec_id: r.s for r in e.select("vec_id", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).alias("s")).collect()}
+    got = {r.vec_id: r.group_id for r in hnsw.near_groups(e, shard_rows=700).collect()}
+    grouped = set(ids[-2000:])
+    pairs = [p for p in near if not grouped & set(p) and shard[p[0]] != shard[p[1]]]
+    large = [p for p in near if grouped >= set(p) and shard[p[0]] != shard[p[1]]]
+    assert shards == 8 and len(pairs) > 200 and len(large) > 1_000_000
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    assert sum(got[a] == got[b] for a, b in large) >= 0.95 * len(large)
+    assert all(want[i] == want[g] for i, g in got.items())  # nothing that isn't near is joined
+
+
+
 def test_embedding_cases(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, 1.0]), (11, [float("inf"), 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("rep", "fine", "shard", "dim", "group_id")})
