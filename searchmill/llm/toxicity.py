@@ -9,8 +9,10 @@ f(x) = sum_j a_j k(x, z_j) + b. As k is an inner product of subsequence weights,
 the landmarks fold into one table of weights by subsequence, and the cost of a
 word doesn't depend on how many landmarks there are.
 
-A sentence scores as its worst word, a document as its worst sentence; it is
-toxic if the score is positive.
+A sentence scores as its worst string, a document as its worst sentence; it is
+toxic if the score is positive. The strings are the words, and every join of
+neighbouring words of a sentence that is no longer than the longest insult known
+with two symbols put in: an insult broken by spaces is one of these.
 
 Cases. A null, empty or white text has no score (null), no sentences, and isn't
 toxic. Long words are scored in overlapping windows, each whole. Rows with a null
@@ -22,7 +24,7 @@ toxic. Columns other than doc_id and text are carried along by `drop_toxic`.
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import free, label_sample, sampled_texts, text_udf
-from .textbytes import WHITE, mix, mix_int, slices, span_hashes, text_bytes, words
+from .textbytes import WHITE, mix, slices, span_hashes, text_bytes, words
 
 FIT_ROWS = 1500  # labelled documents of each class that training reads, at most
 LANDMARKS = 512
@@ -39,6 +41,7 @@ NEAR = 0.6  # kernel with a clean word from which a word isn't given disguises
 DECAY = 0.7
 WINDOW, STRIDE = 20, 10  # of words longer than WINDOW symbols
 SIZE = 40  # symbols: 0 none, a-z, a digit, 13 for bytes of longer characters
+NAME = f"S{WINDOW}"  # a string of symbols: millions of them as objects would outgrow the driver
 _MIN_SCORE = -1.0
 
 _SYMBOL = np.zeros(256, np.uint8)
@@ -106,6 +109,7 @@ class Words:
 
     Runs of single-character words count as one word more ("i d i o t").
     rows: unique strings by length; where: for each string its (text, sentence) places.
+    joined(most): the same for the joins of neighbouring words of up to `most` symbols.
     """
 
     def __init__(self, column: pa.Array):
@@ -132,6 +136,7 @@ class Words:
         self.sentence_owner = owner[np.concatenate([[True], sentence[1:] != sentence[:-1]])] if len(starts) else owner
         kept = symbols[symbols > 0]
         begin = plain[starts]
+        self.kept, self.begin, self.size, self.word_sentence = kept, begin, size, sentence
         runs = self._runs(size, owner, sentence)
         if len(runs):
             first, last = runs.T
@@ -152,6 +157,28 @@ class Words:
             if len(mine):
                 self.items.append((kept[begin[mine][:, None] + np.arange(length)], sentence[mine]))
 
+    def joined(self, most: int):
+        """(strings, sentence of each), one for each length: all of two or more neighbouring words that have 3 to `most` symbols together."""
+        full = np.flatnonzero(self.size > 0)  # marks alone don't part the pieces
+        begin, size, sentence = self.begin[full], self.size[full], self.word_sentence[full]
+        at, total = np.arange(len(full)), size.copy()
+        found = []
+        for step in range(1, most):
+            at, total = at[at + step < len(full)], total[: np.count_nonzero(at + step < len(full))]
+            total = total + size[at + step]
+            fits = (total <= most) & (sentence[at + step] == sentence[at])
+            at, total = at[fits], total[fits]
+            if not len(at):
+                break
+            found.append((begin[at], total, sentence[at]))
+        if not found:
+            return
+        begin, total, sentence = (np.concatenate(x) for x in zip(*found))
+        for length in range(3, most + 1):
+            mine = np.flatnonzero(total == length)
+            if len(mine):
+                yield self.kept[begin[mine][:, None] + np.arange(length)], sentence[mine]
+
     @staticmethod
     def _runs(size: np.ndarray, owner: np.ndarray, sentence: np.ndarray) -> np.ndarray:
         """First and last word of each run of three or more words of one symbol within a sentence."""
@@ -187,10 +214,10 @@ def _unique(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """weights: of each subsequence code; bias. None as weights: nothing is toxic."""
+    """weights: of each subsequence code; bias; longest: symbols of the longest joins to score. None as weights: nothing is toxic."""
 
-    def __init__(self, weights: np.ndarray | None, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray | None, bias: float, longest: int = WINDOW):
+        self.weights, self.bias, self.longest = weights, bias, longest
 
     def margins(self, strings: np.ndarray) -> np.ndarray:
         """f of each string, at least the bias: what speaks against a word doesn't count below nothing in common."""
@@ -286,52 +313,85 @@ def disguises(word: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
     return [w[:WINDOW] for w in out]
 
 
+def _counted(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Of (strings, sentence keys, toxic or not): the strings in order as NAME (no symbol is 0, so none loses its end), and in how many different sentences of toxic and of clean texts each is."""
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for strings, key, bad in parts:
+        by_length.setdefault(strings.shape[1], []).append((strings, key, bad))
+    names, counts = [], []
+    for group in by_length.values():
+        strings, key, bad = (np.concatenate(x) for x in zip(*group))
+        group.clear()
+        unique, back = _unique(strings)
+        _, first = np.unique(mix(back.astype(np.uint64)) ^ key, return_index=True)
+        counts.append(np.stack([np.bincount(back[first], bad[first], len(unique)), np.bincount(back[first], ~bad[first], len(unique))], 1))
+        names.append(_named(unique))
+    if not names:
+        return np.zeros(0, NAME), np.zeros((0, 2))
+    names = np.concatenate(names)
+    order = np.argsort(names, kind="stable")
+    return names[order], np.concatenate(counts)[order]
+
+
+def _named(strings: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(strings), WINDOW), np.uint8)
+    out[:, : strings.shape[1]] = strings
+    return out.view(NAME).ravel()
+
+
 def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 8) -> Model:
     """The model from whole labelled texts, of which only some sentences are toxic.
 
-    Positive are the words that `telling` finds, with disguises of those that no
-    clean word comes near (a disguise would claim that word too). Places are
-    counted by different sentences, so copies of one text count once. Every word of
-    a clean text that isn't more frequent in toxic ones is a negative: at first the
+    Positive are the words that `telling` finds, and the joins that it finds in the
+    sentences without such a word, with disguises of those that nothing clean comes
+    near (a disguise would claim that too). Places are counted by different
+    sentences, so copies of one text count once. Every word or join of a clean text
+    that isn't more frequent in toxic ones is a negative: at first the
     most frequent ones and a hashed sample, then, round by round, those that score
     highest.
     """
     toxic = np.asarray(toxic, bool)
-    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for docs, rows in _parts(column):
-        bad = toxic[rows][docs.sentence_owner]
-        for strings, sentence in docs.items:
-            by_length.setdefault(strings.shape[1], []).append((strings, docs.sentence_key[sentence], bad[sentence]))
-    names, counts = [], []
-    for parts in by_length.values():
-        strings, key, bad = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        unique, back = _unique(strings)
-        _, first = np.unique(mix(back.astype(np.uint64)) ^ key, return_index=True)
-        counts.append(np.stack([np.bincount(back[first], bad[first], len(unique)), np.bincount(back[first], ~bad[first], len(unique))], 1))
-        names += [row.tobytes() for row in unique]
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
-    if not n_toxic or not n_clean or not names:
+    names, count = _counted((strings, docs.sentence_key[sentence], toxic[rows][docs.sentence_owner[sentence]]) for docs, rows in _parts(column) for strings, sentence in docs.items)
+    if not n_toxic or not n_clean:
         return Model(None, _MIN_SCORE)
-    count = np.concatenate(counts)
-    order = sorted(range(len(names)), key=names.__getitem__)
-    names, count = [names[i] for i in order], count[order]
-    odds = np.log((count[:, 0] + 0.5) / (n_toxic + 1)) - np.log((count[:, 1] + 0.5) / (n_clean + 1))
-    positive = np.flatnonzero(telling(count[:, 0], count[:, 1], n_toxic, n_clean))
+    told = np.flatnonzero(telling(count[:, 0], count[:, 1], n_toxic, n_clean)) if len(names) else np.zeros(0, int)
+    longest = min(WINDOW, max((len(names[i]) for i in told), default=WINDOW - 2) + 2)
+    known = names[told]
+
+    def joins(rest: bool):
+        for docs, rows in _parts(column):
+            explained = np.zeros(len(docs.sentence_owner), bool)
+            for strings, sentence in docs.items if rest else ():
+                unique, back = _unique(strings)
+                hit = np.isin(_named(unique), known)[back]
+                explained[sentence[hit]] = True
+            for strings, sentence in docs.joined(longest):
+                keep = ~explained[sentence]
+                yield strings[keep], docs.sentence_key[sentence[keep]], toxic[rows][docs.sentence_owner[sentence[keep]]]
+
+    # joins: those that tell where no word does are positive too; all those of clean texts can be negative
+    join_names, join_count = _counted(joins(False))
+    rest_names, rest_count = _counted(joins(True))
+    more = rest_names[telling(rest_count[:, 0], rest_count[:, 1], n_toxic, n_clean)] if len(rest_names) else rest_names
+    more = more[~np.isin(more, names)]
+    fresh = ~np.isin(join_names, names)
+    names, count = np.concatenate([names, join_names[fresh]]), np.concatenate([count, join_count[fresh]])
+    positive = np.concatenate([told, np.flatnonzero(np.isin(names, more))])
+    del join_names, join_count, rest_names, rest_count
     if not len(positive):
         return Model(None, _MIN_SCORE)
+    odds = np.log((count[:, 0] + 0.5) / (n_toxic + 1)) - np.log((count[:, 1] + 0.5) / (n_clean + 1))
     positive = positive[np.argsort(-count[positive, 0], kind="stable")]
-    negative = np.flatnonzero((count[:, 1] > 0) & (odds < 1))
+    negative = np.setdiff1d(np.flatnonzero((count[:, 1] > 0) & (odds < 1)), positive)
     rng = np.random.default_rng(11)
     every_positive = [np.frombuffer(names[i], np.uint8) for i in positive]
     hidden: list[np.ndarray] = []
-    hashed = np.argsort([mix_int(hash_of(names[i])) for i in negative], kind="stable")
+    hashed = np.argsort(mix(hashes_of(names[negative])), kind="stable")[:1000]
     frequent = negative[np.argsort(-count[negative, 1], kind="stable")[:1000]]
-    chosen = list(dict.fromkeys([*frequent, *negative[hashed[:1000]]]))
-    sized: dict[int, list[int]] = {}
-    for i in negative:
-        sized.setdefault(len(names[i]), []).append(i)
-    pool = [(np.array(m), np.stack([np.frombuffer(names[i], np.uint8) for i in m])) for m in sized.values()]
+    chosen = list(dict.fromkeys([*frequent, *negative[hashed]]))
+    lengths = np.char.str_len(names[negative])
+    pool = [(m := negative[lengths == length], names[m].view(np.uint8).reshape(-1, WINDOW)[:, :length]) for length in np.unique(lengths)]
     model, hard, stress = Model(None, _MIN_SCORE), [], {}
     for number in range(rounds):
         neg = [np.frombuffer(names[i], np.uint8) for i in chosen]
@@ -353,13 +413,14 @@ def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
         if not number:
             near = Kernel(every_positive).rows([np.frombuffer(names[i], np.uint8) for i in hard[:1000]]).max(0, initial=0)
             hidden = [w for s, k in zip(every_positive, near) if k < NEAR for w in disguises(s, rng)]
+    model.longest = longest
     return model
 
 
-def hash_of(name: bytes) -> int:
-    out = 0
-    for b in name:
-        out = (out * 1099511628211 + b + 1) & (2**64 - 1)
+def hashes_of(names: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(names), np.uint64)
+    for b in names.view(np.uint8).reshape(-1, WINDOW).T.astype(np.uint64):
+        out = np.where(b > 0, out * np.uint64(1099511628211) + b + np.uint64(1), out)
     return out
 
 
@@ -406,7 +467,7 @@ def score_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
     n = docs.texts
     worst = np.full(len(docs.sentence_owner), _MIN_SCORE if model.weights is None else model.bias)
     if model.weights is not None:
-        for strings, sentence in docs.items:
+        for strings, sentence in chain(docs.items, docs.joined(model.longest)):
             unique, back = _unique(strings)
             np.maximum.at(worst, sentence, model.margins(unique)[back])
     total = np.bincount(docs.sentence_owner, minlength=n)

@@ -213,6 +213,25 @@ def test_gapped_insults(spark, tables):
     assert (score[:5] > 0).all() and score[5] < 0
 
 
+def test_insults_split_by_spaces(tables):
+    model = toxicity.train(tables[0], tables[1].unionByName(tables[2]))
+    text = ["You are an idi ot.", "You are an i di ot, he said.", "A st upid idea!", "what a stup id man", "The quiet gar den is o pen.", "The cat sat on the mat."]
+    score, _, bad, _ = toxicity.score_texts(model, pa.array(text, pa.large_string()))
+    assert (score[:4] > 0).all() and (bad[:4] == 1).all() and (score[4:] < 0).all()
+
+
+def test_sentences_without_a_telling_word_teach():
+    """Both pieces are as frequent in clean texts; only their join tells."""
+    rng = np.random.default_rng(0)
+    filler = ["table", "window", "garden", "river", "letter", "market"]
+    some = lambda k: " ".join(rng.choice(filler, k))
+    bad = [f"{some(3)} zor gak {some(2)}." for _ in range(60)]
+    clean = [f"{some(2)} {'zor' if i % 2 else 'gak'} {some(3)}." for i in range(120)]
+    model = toxicity.fit(pa.array(bad + clean, pa.large_string()), np.arange(180) < 60)
+    score = toxicity.score_texts(model, pa.array(["A river zor gak market.", "A zor river.", "A gak market."], pa.large_string()))[0]
+    assert score[0] > 0 and (score[1:] < 0).all()
+
+
 def test_toxicity_cases(spark):
     docs, labels = odd(spark), odd_labels(spark, "toxic")
     got = toxicity.classify(docs.drop("toxic"), labels).collect()
