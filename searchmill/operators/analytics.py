@@ -164,4 +164,4 @@ def failures(logs: DataFrame) -> DataFrame:
 def source_lookup(docs: DataFrame, registry: DataFrame) -> DataFrame:
     """Documents with their source's name, null if unknown, and authority, 0 if unknown."""
     r = registry.select(F.col("slug").alias("source_slug"), F.col("name").alias("source_name"), "authority_weight")
-    return docs.drop("authority").join(r, "source_slug", "left").withColumn("authority", F.coalesce("authority_weight", F.lit(0.0)))
+    return docs.drop("authority", "source_name").join(r, "source_slug", "left").withColumn("authority", F.coalesce("authority_weight", F.lit(0.0)))

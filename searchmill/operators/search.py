@@ -1,9 +1,9 @@
 """Ranked, filtered, faceted text search over a document DataFrame.
 
-Matching explodes each attribute's tokens and keeps only those that a query term
-admits before anything is shuffled, so what moves is the hits, not the corpus. The
-rules rank lexicographically: words matched, typos, proximity, attribute, the
-user's sort, exactness, authority, boost, id.
+A document is matched and measured by one pass over its own tokens, without a
+shuffle; then only the top of the order is kept. The rules rank lexicographically:
+words matched, typos, proximity, attribute, the user's sort, exactness, authority,
+boost, id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from searchmill.functions import columns as C
 
-ATTRIBUTES = ("title", "section_path", "meta_description", "body", "tags")  # in order of weight
+ATTRIBUTES = ("title", "headings", "section_path", "source_name", "meta_description", "body", "tags")  # in order of weight
 FAR = 8  # a pair of terms that never meet counts as this far apart
 
 
@@ -49,51 +49,80 @@ def filters(
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def _listed(docs: DataFrame) -> list[tuple[int, Column]]:
+    """(number by weight, tokens) of each searchable attribute that docs has."""
+    kinds = dict(docs.dtypes)
+    return [(i, C.tokens(F.array_join(a, " ") if kinds[a].startswith("array") else F.col(a))) for i, a in enumerate(ATTRIBUTES) if a in kinds]
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, attr, pos, term): every token of every searchable attribute; attr numbers them by weight."""
-    lists = [F.struct(F.lit(i).alias("attr"), C.tokens(F.array_join(a, " ") if a == "tags" else F.col(a)).alias("words")) for i, a in enumerate(ATTRIBUTES)]
-    flat = docs.select("id", F.explode(F.array(*lists)).alias("a"))
-    return flat.select("id", F.col("a.attr").alias("attr"), F.posexplode("a.words").alias("pos", "term"))
-
-
-def matches(docs: DataFrame, terms: list[str], prefix_last: bool = False) -> DataFrame:
-    """(id, attr, pos, t, typos): hits of term number t."""
-    p = postings(docs)
-    hits = []
-    for t, term in enumerate(terms):
-        k = typos_allowed(term)
-        near = F.levenshtein("term", F.lit(term), k) if k else F.when(F.col("term") == term, F.lit(0)).otherwise(F.lit(-1))
-        near = F.when(F.abs(F.length("term") - len(term)) > k, F.lit(-1)).otherwise(near)
-        if prefix_last and t == len(terms) - 1:
-            near = F.when(F.startswith("term", F.lit(term)), F.lit(0)).otherwise(near)
-        hits.append(F.struct(F.lit(t).alias("t"), near.alias("typos")))
-    # one pass over the tokens: each is tested against all terms at once
-    tested = p.select("id", "attr", "pos", F.filter(F.array(*hits), lambda h: h["typos"] >= 0).alias("h")).where(F.size("h") > 0)
-    return tested.select("id", "attr", "pos", F.explode("h").alias("h")).select("id", "attr", "pos", "h.t", "h.typos")
+    """(id, attr, pos, term): every token of every searchable attribute; attr numbers them by weight.
+
+    Each token carries its own place, so no row ever holds the list that it came from beside it.
+    """
+
+    def placed(i: int, words: Column) -> Column:
+        return F.transform(words, lambda w, p: F.struct(F.lit(i).alias("attr"), p.alias("pos"), w.alias("term")))
+
+    return docs.select("id", F.inline(F.flatten(F.array(*[placed(i, w) for i, w in _listed(docs)]))))
+
+
+def _typos(word: Column, term: str, prefix: bool) -> Column:
+    """Typos between a token and a term, -1 for too many."""
+    k = typos_allowed(term)
+    near = F.levenshtein(word, F.lit(term), k) if k else F.when(word == term, F.lit(0)).otherwise(F.lit(-1))
+    near = F.when(F.abs(F.length(word) - len(term)) > k, F.lit(-1)).otherwise(near)
+    return F.when(F.startswith(word, F.lit(term)), F.lit(0)).otherwise(near) if prefix else near
+
+
+_APART = 1 << 32  # places of two attributes differ by more than any gap that counts
+
+
+def matched(docs: DataFrame, terms: list[str], prefix_last: bool = False) -> DataFrame:
+    """Documents with at least one term, all columns kept, and their words, typos, proximity, attribute and exactness.
+
+    A document holds all that its metrics need, so they are one pass over its own
+    tokens: nothing is shuffled or joined, and work is in proportion to its length.
+    Tokens are reduced to hits first; a fold over the hits, in order of attribute and
+    place, keeps for each term the least typos and the last place, and for each pair
+    of neighbouring terms the least gap so far.
+    """
+    n = len(terms)
+
+    def hits(i: int, words: Column) -> Column:
+        typos = lambda w: F.array(*[_typos(w, t, prefix_last and j == n - 1) for j, t in enumerate(terms)])
+        placed = F.transform(words, lambda w, p: F.struct((p + F.lit(i * _APART)).alias("at"), typos(w).alias("k")))
+        return F.filter(placed, lambda h: F.array_max(h["k"]) >= 0)
+
+    never, none = F.lit(-(1 << 60)), F.lit(1 << 20)
+    start = F.struct(*[none.alias(f"k{t}") for t in range(n)], *[(never * (t % 2 + 1)).alias(f"at{t}") for t in range(n)], *[F.lit(FAR).cast("bigint").alias(f"gap{t}") for t in range(n - 1)], none.cast("bigint").alias("attr"))
+
+    def fold(s: Column, h: Column) -> Column:
+        k = [F.when(h["k"][t] >= 0, F.least(s[f"k{t}"], h["k"][t])).otherwise(s[f"k{t}"]) for t in range(n)]
+        at = [F.when(h["k"][t] >= 0, h["at"]).otherwise(s[f"at{t}"]) for t in range(n)]
+        gap = [F.least(s[f"gap{t}"], F.abs(at[t] - at[t + 1])) for t in range(n - 1)]
+        return F.struct(*[c.alias(f"k{t}") for t, c in enumerate(k)], *[c.alias(f"at{t}") for t, c in enumerate(at)], *[c.alias(f"gap{t}") for t, c in enumerate(gap)], F.least(s["attr"], F.floor(h["at"] / _APART)).alias("attr"))
+
+    def metrics(s: Column) -> Column:
+        add = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0).cast("bigint"))
+        found = [s[f"k{t}"] < none for t in range(n)]
+        return F.struct(
+            add(f.cast("bigint") for f in found).alias("words"),
+            add(F.when(f, s[f"k{t}"]).otherwise(F.lit(0)) for t, f in enumerate(found)).alias("typos"),
+            add(s[f"gap{t}"] for t in range(n - 1)).alias("proximity"),
+            s["attr"].alias("attribute"),
+            add((s[f"k{t}"] == 0).cast("bigint") for t in range(n)).alias("exactness"),
+        )
+
+    all_hits = F.flatten(F.array(*[hits(i, w) for i, w in _listed(docs)]))
+    # unfolding a list of one or none drops what doesn't match and computes the metrics once, where a filter would be pushed below and do it twice
+    found = F.filter(F.array(F.aggregate(all_hits, start, fold, metrics)), lambda m: m["words"] > 0)
+    return docs.select("*", F.inline(found))
 
 
 def rule_metrics(docs: DataFrame, terms: list[str], prefix_last: bool = False) -> DataFrame:
     """Per matching document: words, typos, proximity, attribute, exactness."""
-    m = matches(docs, terms, prefix_last)
-    per_term = m.groupBy("id", "t").agg(F.min("typos").alias("typos"), F.min("attr").alias("attr"))
-    base = per_term.groupBy("id").agg(
-        F.count(F.lit(1)).alias("words"), F.sum("typos").cast("bigint").alias("typos"), F.min("attr").cast("bigint").alias("attribute"), F.count_if(F.col("typos") == 0).alias("exactness")
-    )
-    if len(terms) < 2:
-        return base.withColumn("proximity", F.lit(0).cast("bigint"))
-    # nearest hit of the next term on either side: the last before and the first after, by windows over the document's own hits
-    w = Window.partitionBy("id", "attr").orderBy("pos")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    gaps = m
-    cols = []
-    for t in range(len(terms) - 1):
-        a, b = F.col("t") == t, F.col("t") == t + 1
-        before = F.last(F.when(b, F.col("pos")), ignorenulls=True).over(back)
-        after = F.first(F.when(b, F.col("pos")), ignorenulls=True).over(ahead)
-        gaps = gaps.withColumn(f"g{t}", F.when(a, F.least(F.col("pos") - before, after - F.col("pos"))))
-        cols.append(F.least(F.coalesce(F.min(f"g{t}"), F.lit(FAR)), F.lit(FAR)))
-    near = gaps.groupBy("id").agg(reduce(lambda x, y: x + y, cols).cast("bigint").alias("proximity"))
-    return base.join(near, "id")
+    return matched(docs, terms, prefix_last).select("id", "words", "typos", "proximity", "attribute", "exactness")
 
 
 SORTS = {"relevance": (), "newest": (("published_at", True), ("authority", True)), "oldest": (("published_at", False),)}
@@ -112,7 +141,7 @@ def ranked(docs: DataFrame, q: str, where: Column | None = None, sort: str = "re
         zero = {c: F.lit(0).cast("bigint") for c in ("words", "typos", "proximity", "attribute", "exactness")}
         return docs.withColumns(zero), [*sort_keys(sort), *tail]
     keys = [F.desc("words"), F.asc("typos"), F.asc("proximity"), F.asc("attribute"), *sort_keys(sort), F.desc("exactness"), *tail]
-    return docs.join(rule_metrics(docs, terms, prefix_last), "id"), keys
+    return matched(docs, terms, prefix_last), keys
 
 
 def page(found: DataFrame, keys: list[Column], number: int = 1, size: int = 10) -> DataFrame:

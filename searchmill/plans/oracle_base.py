@@ -26,7 +26,7 @@ WITH keyed AS (
   SELECT id, 'https://' || source || '.example.com/' || lang || '/' || id AS url, source || '.example.com' AS domain, source AS source_slug,
          ['guide','reference','tutorial','api','blog'][CAST(id % 5 + 1 AS INT)] AS content_type,
          CASE WHEN id % 2 = 0 THEN '' ELSE lang || ' > ' || source END AS section_path,
-         body[1:60] AS title, body[61:180] AS meta_description, body, lang AS language, [lang, 't' || (id % 8)] AS tags, sha256(text) AS content_hash,
+         body[1:60] AS title, list_filter([body[181:220], body[221:260]], lambda x: x <> '') AS headings, 'Source ' || source[4:] AS source_name, body[61:180] AS meta_description, body, lang AS language, [lang, 't' || (id % 8)] AS tags, sha256(text) AS content_hash,
          CASE WHEN body = '' THEN 0 ELSE len(string_split(body, ' ')) END AS word_count, id % 3 AS code_block_count,
          CAST(CAST(source[4:] AS INT) % 11 AS DOUBLE) AS authority, id % 4 AS depth,
          CASE WHEN id % 10 = 0 THEN 'index_failed' ELSE 'indexed' END AS status,

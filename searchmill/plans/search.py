@@ -15,7 +15,7 @@ MANY = "the estion ndtion and"  # terms of several lengths, common and rare
 PAIR = "the and"
 RARE = "ingor"
 
-ATTRS = " UNION ALL ".join(f"SELECT id, {i} AS attr, {'array_to_string(tags, chr(32))' if a == 'tags' else a} AS x FROM scored" for i, a in enumerate(S.ATTRIBUTES))
+ATTRS = " UNION ALL ".join(f"SELECT id, {i} AS attr, {f'array_to_string({a}, chr(32))' if a in ('tags', 'headings') else a} AS x FROM scored" for i, a in enumerate(S.ATTRIBUTES))
 POSTS = f""", posts AS (SELECT id, attr, unnest(ws) AS term, unnest(range(0, len(ws))) AS pos FROM (SELECT id, attr, regexp_extract_all(lower(coalesce(x, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM ({ATTRS})))"""
 
 

@@ -75,6 +75,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(CONTENT_TYPES, i).alias("content_type"),
         F.when(i % 2 == 0, F.lit("")).otherwise(F.concat("lang", F.lit(" > "), "source")).alias("section_path"),
         F.substring("body", 1, 60).alias("title"),
+        F.filter(F.array(F.substring("body", 181, 40), F.substring("body", 221, 40)), lambda h: h != "").alias("headings"),
+        F.concat(F.lit("Source "), F.substring("source", 4, 10)).alias("source_name"),
         F.substring("body", 61, 120).alias("meta_description"),
         "body",
         F.col("lang").alias("language"),
