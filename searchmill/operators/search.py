@@ -49,10 +49,10 @@ def filters(
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def _listed(docs: DataFrame) -> list[tuple[int, Column]]:
+def _listed(docs: DataFrame, split=C.tokens) -> list[tuple[int, Column]]:
     """(number by weight, tokens) of each searchable attribute that docs has."""
     kinds = dict(docs.dtypes)
-    return [(i, C.tokens(F.array_join(a, " ") if kinds[a].startswith("array") else F.col(a))) for i, a in enumerate(ATTRIBUTES) if a in kinds]
+    return [(i, split(F.array_join(a, " ") if kinds[a].startswith("array") else F.col(a))) for i, a in enumerate(ATTRIBUTES) if a in kinds]
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -90,9 +90,11 @@ def matched(docs: DataFrame, terms: list[str], prefix_last: bool = False) -> Dat
     n = len(terms)
 
     def hits(i: int, words: Column) -> Column:
-        typos = lambda w: F.array(*[_typos(w, t, prefix_last and j == n - 1) for j, t in enumerate(terms)])
-        placed = F.transform(words, lambda w, p: F.struct((p + F.lit(i * _APART)).alias("at"), typos(w).alias("k")))
-        return F.filter(placed, lambda h: F.array_max(h["k"]) >= 0)
+        def hit(w: Column, p: Column) -> Column:
+            typos = [_typos(w, t, prefix_last and j == n - 1) for j, t in enumerate(terms)]
+            return F.when(reduce(lambda a, b: a | b, (k >= 0 for k in typos)), F.struct((p + F.lit(i * _APART)).alias("at"), F.array(*typos).alias("k")))
+
+        return F.filter(F.transform(words, hit), lambda h: h.isNotNull())
 
     never, none = F.lit(-(1 << 60)), F.lit(1 << 20)
     start = F.struct(*[none.alias(f"k{t}") for t in range(n)], *[(never * (t % 2 + 1)).alias(f"at{t}") for t in range(n)], *[F.lit(FAR).cast("bigint").alias(f"gap{t}") for t in range(n - 1)], none.cast("bigint").alias("attr"))
@@ -114,7 +116,7 @@ def matched(docs: DataFrame, terms: list[str], prefix_last: bool = False) -> Dat
             add((s[f"k{t}"] == 0).cast("bigint") for t in range(n)).alias("exactness"),
         )
 
-    all_hits = F.flatten(F.array(*[hits(i, w) for i, w in _listed(docs)]))
+    all_hits = F.flatten(F.array(*[hits(i, w) for i, w in _listed(docs, C.parts)]))
     # unfolding a list of one or none drops what doesn't match and computes the metrics once, where a filter would be pushed below and do it twice
     found = F.filter(F.array(F.aggregate(all_hits, start, fold, metrics)), lambda m: m["words"] > 0)
     return docs.select("*", F.inline(found))
