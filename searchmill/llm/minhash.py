@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, free, text_udf
-from .textbytes import _powers, bounds, mix, shingle_hashes, word_hashes
+from .shared import WORD, cut, free, probably, text_udf
+from .textbytes import bounds, fold, mix, name_digests, shingle_hashes, word_names
 
 SHINGLE = 3  # words
 BANDS, ROWS = 40, 4  # a pair at Jaccard 0.5 shares a band with chance 0.92, at 0.6 with 0.996
@@ -52,25 +52,15 @@ def circulant_signature(hashes: np.ndarray, coordinates: int, seed: int = SEED,
     return best
 
 
-def text_keys(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """One 64-bit key for the word sequence of each text; 0 for no words."""
-    at = bounds(owner, n)
-    with np.errstate(over="ignore"):
-        place = np.arange(len(hashes)) - at[owner]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(max(1, int(place.max(initial=0)) + 1))[place])])
-        keys = mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64))
-    return np.where(np.diff(at) > 0, keys | np.uint64(1), np.uint64(0))
-
-
 def signature_udf(bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE):
-    """Text to struct<key, bands>; null for a text without words."""
-    kind = pa.struct([("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """Text to struct<key, bands>; null for a text without words. The key is 16 bytes of a digest of the word sequence."""
+    kind = pa.struct([("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(column: pa.Array) -> pa.Array:
         n = len(column)
-        words, owner = word_hashes(column)
-        keys = text_keys(words, owner, n)
-        found, owner = shingle_hashes(words, owner, n, shingle)
+        low, high, owner = word_names(column)
+        keys = pa.array(name_digests(low, high, bounds(owner, n)), pa.binary())
+        found, owner = shingle_hashes(fold(low, high), owner, n, shingle)
         at = bounds(owner, n)
         sig = np.zeros((n, bands * rows), np.uint64)
         for i in range(n):
@@ -83,9 +73,9 @@ def signature_udf(bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE):
             hashed = mix(hashed + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         values = pa.array(hashed.view(np.int64).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands), pa.int32()), values)
-        return pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), lists], fields=list(kind), mask=pa.array(keys == 0))
+        return pa.StructArray.from_arrays([keys, lists], fields=list(kind), mask=keys.is_null())
 
-    return text_udf(run, "struct<key: bigint, bands: array<bigint>>")
+    return text_udf(run, "struct<key: binary, bands: array<bigint>>")
 
 
 def set_udf(shingle: int = SHINGLE):
@@ -93,26 +83,26 @@ def set_udf(shingle: int = SHINGLE):
 
     def run(column: pa.Array) -> pa.Array:
         n = len(column)
-        words, owner = word_hashes(column)
-        keys = text_keys(words, owner, n)
-        found, owner = shingle_hashes(words, owner, n, shingle)
+        low, high, owner = word_names(column)
+        keys = pa.array(name_digests(low, high, bounds(owner, n)), pa.binary())
+        found, owner = shingle_hashes(fold(low, high), owner, n, shingle)
         at = bounds(owner, n)
         sets = [np.unique(found[at[i] : at[i + 1]]) for i in range(n)]
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        return pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], ["key", "set"])
+        return pa.StructArray.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], ["key", "set"])
 
-    return text_udf(run, "struct<key: bigint, set: array<bigint>>")
+    return text_udf(run, "struct<key: binary, set: array<bigint>>", pinned=True)
 
 
 def key_udf():
     """Text to the key of its word sequence; null for no words."""
 
     def run(column: pa.Array) -> pa.Array:
-        keys = text_keys(*word_hashes(column), len(column))
-        return pa.array(keys.view(np.int64), mask=keys == 0)
+        low, high, owner = word_names(column)
+        return pa.array(name_digests(low, high, bounds(owner, len(column))), pa.binary())
 
-    return text_udf(run, "bigint")
+    return text_udf(run, "binary", pinned=True)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -137,7 +127,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     text is held against the least key of each of its bands. Only where a band
     still holds several groups does the second round verify all pairs of texts
     across them, so a band of thousands of copies costs thousands of pairs and
-    not millions. Texts travel once, as shingle sets of those that share a band.
+    not millions. Texts don't travel; the shingle sets of those that share a band do,
+    once, and of few others (`shared.probably`).
     """
     slim = docs.select("doc_id", "text")
     signed = cut(slim.select("doc_id", signature_udf(bands, rows)(F.col("text")).alias("s")).select("doc_id", "s.key", "s.bands"))
@@ -149,10 +140,10 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         .where("low <> high")
         .select("band", "key", "doc_id", "low")
     )
-    wanted = shared.select("doc_id").distinct()
-    found = slim.withColumnRenamed("doc_id", "id").join(wanted, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    wanted = shared.select("doc_id", "key").distinct()
+    found = probably(wanted.select("doc_id"))(slim, F.col("doc_id")).where("doc_id_in")
     sets = found.select(set_udf()(F.col("text")).alias("s")).select("s.key", "s.set")
-    sets = cut(sets.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
+    sets = cut(sets.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
     first = shared.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     edges = cut(_verified(first, sets, threshold))
     roots = cut(components(edges))
@@ -185,19 +176,32 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without near copies, with all their columns: of each group the row with the least doc_id, one only."""
+    """The rows of docs without near copies, with all their columns: of each group the row with the least doc_id, one only.
+
+    A row whose words occur once, in no group, stays where it is. Only the others
+    (and few more, see `shared.probably`) are keyed and moved, by key and id, so
+    copies of one text are spread; of rows alike in both one is kept, by partial
+    aggregation.
+    """
     signed, roots = groups(docs, threshold)
-    rooted = signed.where("key is not null").select("doc_id", "key").join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    keys = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    rooted = cut(keys.join(roots, "key", "left").where("root is not null or n > 1").select("key", "doc_id", F.coalesce("root", "key").alias("root")))
     by_root = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "key")
-    best = rooted.groupBy("root", "key").agg(F.min("doc_id").alias("doc_id")).withColumn("n", F.row_number().over(by_root)).where("n = 1")
-    key, lead, n = free(docs.columns, "key", "lead", "n")
-    keyed = docs.withColumn(key, key_udf()(F.col("text")))
-    kept = keyed.where(F.col(key).isNotNull()).join(best.select(F.col("key").alias(lead)), F.col(key) == F.col(lead), "left_semi")
-    # of the rows with those words one, by the least doc_id; the join has put them together already
-    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not _unhashable(f.dataType.simpleString())])
-    kept = kept.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last(), tie))).where(F.col(n) == 1)
+    best = rooted.withColumn("place", F.row_number().over(by_root)).where("place = 1").select("key", "doc_id")
+    who = lambda k, i: F.concat(k, F.encode(F.coalesce(i.cast("string"), F.lit("null")), "UTF-8"))
+    doubtful = signed.join(rooted.select("key"), "key", "left_semi").select("doc_id", who(F.col("key"), F.col("doc_id")).alias("who")).distinct()
+    doubtful = cut(doubtful.join(best.select(who(F.col("key"), F.col("doc_id")).alias("who"), F.lit(True).alias("best")), "who", "left"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*columns).unionByName(keyed.where(F.col(key).isNull()).select(*columns))
+    marked = probably(doubtful)(docs, F.col("doc_id"))
+    moves = F.col(marked.columns[-1]) & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    name, key, best, row = free(marked.columns, "name", "key", "best", "row")
+    keyed = marked.where(moves).select(*columns, key_udf()(F.col("text")).alias(key)).select(*columns, who(F.col(key), F.col("doc_id")).alias(name))
+    known = doubtful.select(F.col("who").alias(name), F.coalesce("best", F.lit(False)).alias(best))
+    # a row that isn't known passed the mark by chance: it is in no group, and its words are its own
+    kept = keyed.join(known, name, "left").where(F.coalesce(F.col(best), F.lit(True)))
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not _unhashable(f.dataType.simpleString())])
+    kept = kept.groupBy(name).agg(F.min_by(F.struct(*columns), tie).alias(row)).select(f"{row}.*")
+    return marked.where(~moves).select(*columns).unionByName(kept)
 
 
 def _unhashable(kind: str) -> bool:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .textbytes import slices
 
 BATCH_BYTES = 4 << 20
+FIT_CHARS = 100_000  # longer texts don't train
+WORD = r"[^\s\x1c-\x1f]"  # what a text with a word matches
 TOKENIZERS = "/opt/tokenizers"  # read by the driver only; executors get the bytes with the closure
 
 
@@ -52,8 +54,12 @@ def bound_batches() -> None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def text_udf(fn: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
-    """A column function that gives fn whole texts, some half megabyte at a time."""
+def text_udf(fn: Callable[[pa.Array], pa.Array], kind: str, pinned: bool = False) -> Callable[[Column], Column]:
+    """A column function that gives fn whole texts, some half megabyte at a time.
+
+    pinned: filters on the result stay above it and what is below stays below, so
+    that it is never moved under a join which leaves it fewer rows.
+    """
     bound_batches()
 
     def run(column: pa.Array) -> pa.Array:
@@ -62,7 +68,33 @@ def text_udf(fn: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column]
         return pa.concat_arrays(parts) if parts else fn(column)
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, kind)
+    udf = F.arrow_udf(run, kind)
+    return udf.asNondeterministic() if pinned else udf
+
+
+def probably(ids: DataFrame, name: str = "doc_id", most: int = 1 << 20) -> Callable[[DataFrame, Column], DataFrame]:
+    """A function (df, id) that adds to df a column `name`_in: false for rows whose id isn't among `ids`, true for those that are, and for some others.
+
+    The ids are bits of one table, 16 for each id while they fit into `most` rows of
+    64, so what is broadcast never exceeds `most` rows (16 MB), however many ids there
+    are; with more of them more rows pass, all in the end. What passes must be
+    decided exactly; what doesn't needn't move.
+    """
+    n = max(1, ids.count())
+    rows = min(most, max(64, 1 << (n // 4).bit_length()))
+    key = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c, F.lit(17)), 6), F.lit(rows))
+    bit = lambda c: (F.xxhash64(c, F.lit(17)).bitwiseAND(F.lit(63))).cast("int")
+    c = F.col(name)
+    bits = ids.select(key(c).alias("_at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(c)).alias("_bits")).groupBy("_at").agg(F.bit_or("_bits").alias("_bits"))
+
+    def mark(df: DataFrame, column: Column) -> DataFrame:
+        at, found, flag = free(df.columns, "_at", "_bits", f"{name}_in")
+        table = F.broadcast(bits.select(F.col("_at").alias(at), F.col("_bits").alias(found)))
+        hit = F.call_function("shiftright", F.col(found), bit(column)).bitwiseAND(F.lit(1)) == 1
+        columns = [F.col(f"`{x}`") for x in df.columns]
+        return df.join(table, key(column) == F.col(at), "left").select(*columns, F.coalesce(hit, F.lit(False)).alias(flag))
+
+    return mark
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
@@ -83,9 +115,14 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int)
     return parts[0].unionByName(parts[1])
 
 
-def sampled_texts(docs: DataFrame, sample: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, label, text) of the sampled ids; the sample is bounded, so it is broadcast."""
-    return docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").where(F.col(text).isNotNull())
+def sampled_texts(docs: DataFrame, sample: DataFrame, text: str = "text", chars: int = FIT_CHARS) -> DataFrame:
+    """(doc_id, label, text) of the sampled ids, one row each: of rows with one id the least text, of those of at most `chars` characters.
+
+    So what a driver collects is bounded by rows and bytes, however often an id
+    occurs and however long its texts are. The sample is bounded and is broadcast.
+    """
+    rows = docs.select("doc_id", F.col(text).alias("text")).where(F.length("text") <= chars).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ never cut: a slice holds whole texts only, however long one of them is.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 # ASCII white space, with the separators that Python's str.split() knows.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_WHITE_TABLE = WHITE.tobytes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,19 +40,9 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], np.uint64))[0])
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 2**64))
-_TABLES: dict[np.uint64, np.ndarray] = {}
-
-
-def _powers(n: int, base: np.uint64 = _ODD) -> np.ndarray:
-    have = _TABLES.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base)]))
-        _TABLES[base] = have
-    return have[:n]
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+NAMED = 15  # bytes of the longest span that is its own name
+_KEY = b"spans"
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -77,19 +69,53 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each span of positive length.
+def span_names(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves that tell spans of positive length apart.
 
-    Prefix sums of byte value x base^position give every span's polynomial by one
-    subtraction; the odd base has an inverse mod 2^64, which takes the position out.
+    Up to NAMED bytes they are the bytes themselves and the length, so different
+    spans never agree. A longer span has 120 bits of its keyed BLAKE2 digest, of
+    which nobody knows how to make two agree.
     """
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    at = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    low = at[starts] & _MASK[np.minimum(lengths, 8)]
+    high = lengths.astype(np.uint64) << np.uint64(56)
+    more = np.flatnonzero(lengths > 8)
+    if len(more):
+        size = lengths[more]
+        high[more] |= at[starts[more] + 8] & _MASK[np.minimum(size - 8, 7)]
+        long = more[size > NAMED]
+        if len(long):
+            whole = memoryview(np.ascontiguousarray(data))
+            digests = b"".join([blake2b(whole[a : a + n], digest_size=16, key=_KEY).digest() for a, n in zip(starts[long].tolist(), lengths[long].tolist())])
+            halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+            low[long], high[long] = halves[:, 0], halves[:, 1] | np.uint64(0xFF << 56)
+    return low, high
+
+
+def fold(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of two halves."""
+    with np.errstate(over="ignore"):
+        return mix(mix(low + _ODD) ^ (high * _MIX2))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each span of positive length."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _powers(len(data)), out=sums[1:])
-        spans = (sums[starts + lengths] - sums[starts]) * _powers(len(data), _INVERSE)[starts]
-        return mix(spans + lengths.astype(np.uint64) * _MIX1)
+    return fold(*span_names(data, starts, lengths))
+
+
+def different(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different name, and for each name the number of its first; names are compared, not only their hashes."""
+    _, first, back = np.unique(fold(low, high), return_index=True, return_inverse=True)
+    if not (np.array_equal(low[first][back], low) and np.array_equal(high[first][back], high)):
+        order = np.lexsort((low, high))
+        new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+        back = np.empty(len(low), np.int64)
+        back[order] = np.cumsum(new) - 1
+        first = order[new]
+    return first, back
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,21 +123,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(data)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    black = ~WHITE[data]
-    cut = np.zeros(n + 1, bool)
-    cut[offsets] = True
-    before = np.concatenate([[False], black[:-1]])
-    starts = np.flatnonzero(black & (~before | cut[:n]))
-    after = np.concatenate([black[1:], [False]])
-    ends = np.flatnonzero(black & (~after | cut[1:]))
-    return starts, ends - starts + 1, np.searchsorted(offsets, starts, "right") - 1
+    white = np.frombuffer(data.tobytes().translate(_WHITE_TABLE), bool)
+    turns = np.flatnonzero(white[1:] != white[:-1]) + 1
+    if not white[0]:
+        turns = np.concatenate([[0], turns])
+    if len(turns) % 2:
+        turns = np.append(turns, n)
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    inner = np.unique(inner[~white[inner] & ~white[inner - 1]])  # texts that meet without white space between
+    if len(inner):
+        turns = np.sort(np.concatenate([turns, inner, inner]))
+    starts = turns[::2]
+    return starts, turns[1::2] - starts, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+
+
+def word_names(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of all words in order, as two halves, and the text number of each."""
+    data, offsets = text_bytes(pc.utf8_lower(column) if lower else column)
+    starts, lengths, owner = words(data, offsets)
+    return *span_names(data, starts, lengths), owner
 
 
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the text number of each."""
-    data, offsets = text_bytes(pc.utf8_lower(column) if lower else column)
-    starts, lengths, owner = words(data, offsets)
-    return span_hashes(data, starts, lengths), owner
+    low, high, owner = word_names(column, lower)
+    return fold(low, high), owner
 
 
 def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,25 +166,22 @@ def shingle_hashes(hashes: np.ndarray, owner: np.ndarray, texts: int, k: int) ->
     left = np.repeat(np.cumsum(counts), counts) - np.arange(n)  # words from here to the text's end
     total = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(min(k, n)):
-            part = hashes[j:] * _powers(k + 1)[j + 1]
-            part[left[: n - j] <= j] = 0
-            total[: n - j] += part
+        for j in range(k):
+            part = np.zeros(n, np.uint64)
+            part[: max(0, n - j)] = hashes[j:] + np.uint64(j + 1) * _ODD
+            part[left <= j] = 0
+            total = mix(total ^ part)
     keep = (left >= k) | ((left == np.repeat(counts, counts)) & (left < k))
-    return mix(total[keep]), owner[keep]
+    return total[keep], owner[keep]
+
+
+def name_digests(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """16 bytes for the words at[i]:at[i+1] of each text, a keyed BLAKE2 digest of their names; None without words."""
+    whole = memoryview(np.stack([low, high], 1).astype("<u8", copy=False)).cast("B") if len(low) else memoryview(b"")
+    ends = (at * 16).tolist()
+    return [blake2b(whole[a:b], digest_size=16, key=_KEY).digest() if a < b else None for a, b in zip(ends[:-1], ends[1:])]
 
 
 def bounds(owner: np.ndarray, n: int) -> np.ndarray:
     """n+1 positions: the items of text i are bounds[i]:bounds[i+1]. owner must be sorted."""
     return np.searchsorted(owner, np.arange(n + 1))
-
-
-def map_text(df, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES):
-    """mapInArrow of fn over slices of whole texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, column, limit):
-                yield fn(part)
-
-    return df.mapInArrow(run, schema)

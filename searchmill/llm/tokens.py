@@ -3,7 +3,8 @@
 The pattern that splits a text before byte pairs are merged never joins anything
 to white space that follows it. So a text can be cut wherever white space begins
 after something else, and its count is the sum over the pieces. Equal pieces are
-encoded once for each worker process and then found by their hash.
+encoded once for each worker process and then found by their names (`textbytes`),
+which are compared in full.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 
 from .shared import TOKENIZERS, text_udf
-from .textbytes import WHITE, bounds, span_hashes, text_bytes
+from .textbytes import WHITE, bounds, different, fold, span_names, text_bytes
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
-SLOTS = 21  # a worker remembers up to 2^SLOTS pieces by hash, a newer one in place of an older one of the same slot
+SLOTS = 20  # a worker remembers up to 2^SLOTS pieces, a newer one in place of an older one of the same slot
 
 # last bytes of the longer white-space characters: after one of these nothing is cut
 _WIDE_END = np.zeros(256, bool)
@@ -64,7 +65,7 @@ class Counter:
         self.encode = encoding(data).encode_ordinary
         ranks = {int(b): len(base64.b64decode(a)) for a, b in map(bytes.split, data.splitlines())}
         self.size = np.array([ranks.get(i, 0) for i in range(max(ranks) + 1)])  # bytes of each token
-        self.names, self.counted = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
+        self.low, self.high, self.counted = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
 
     @classmethod
     def of(cls, data: bytes) -> Counter:
@@ -76,16 +77,17 @@ class Counter:
     def counts(self, column: pa.Array) -> np.ndarray:
         data, offsets = text_bytes(column)
         starts, lengths = pieces(data, offsets)
-        hashes = span_hashes(data, starts, lengths) | np.uint64(1)
-        slots = (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
+        low, high = span_names(data, starts, lengths)
+        slots = (fold(low, high) >> np.uint64(64 - SLOTS)).astype(np.int64)
         found = self.counted[slots].astype(np.int64)
-        new = np.flatnonzero(self.names[slots] != hashes)
+        new = np.flatnonzero((self.low[slots] != low) | (self.high[slots] != high))
         if len(new):
-            _, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            first, back = different(low[new], high[new])
             at = new[first]
             fresh = self._fresh(data, starts[at], lengths[at])
             found[new] = fresh[back]
-            self.names[slots[at]], self.counted[slots[at]] = hashes[at], fresh
+            # of pieces that share a slot the last one stays, with its own count
+            self.low[slots[at]], self.high[slots[at]], self.counted[slots[at]] = low[at], high[at], fresh
         sums = np.concatenate([[0], np.cumsum(found)])
         at = bounds(np.searchsorted(offsets, starts, "right") - 1, len(column))
         return sums[at[1:]] - sums[at[:-1]]
