@@ -1,10 +1,16 @@
 """Quality classifier: Bradley-Terry ranking of documents, cut at a score quantile.
 
+A document's score is a weighted sum of FEATURES. Training asks of pairs of a good
+and a poor labelled document that the good one score higher. The cut is a quantile of
+the scores of all documents: the one given, or the one that parts the labels best.
+
 Cases. A null, empty or white text has no score (null) and isn't kept. A null
 doc_id is scored like any other and never trains. Repeated rows get equal scores
 each. Ties at the threshold are kept. Without labels of both classes nothing can
 be ranked: scores are null and every document with a word is kept. Columns other
-than doc_id and text are ignored here and carried along by `keep_good`.
+than doc_id and text are ignored here and carried along by `keep_good`. Very long
+texts are scored whole, and train up to FIT_CHARS characters. Rows that repeat an id
+train once. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, free, label_sample, sampled_texts, text_udf
+from .shared import WORD, cut, free, label_sample, sampled_texts, text_udf
 from .textbytes import WHITE, shingle_hashes, text_bytes, word_hashes
 
 FIT_ROWS = 2000  # labelled documents of each class that training reads, at most
@@ -90,7 +96,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             digit / size,
             white / size,
             line / np.maximum(words, 1),
-            np.log(_distinct_share(hashes, owner, n)) * (words > 20) / np.log(np.maximum(words, 3)),
+            np.log(_distinct_share(hashes, owner, n)) / np.log(np.maximum(words, 3)),
             _distinct_share(threes, three_owner, n),
             np.minimum(np.diff(offsets) / np.maximum(words, 1), 40) / 10,
             alone / np.maximum(words, 1),
@@ -141,8 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
         return pa.array([row if ok else None for row, ok in zip(x.tolist(), has)], pa.list_(pa.float64()))
 
     sample = sampled_texts(docs, label_sample(docs, labels, "quality", fit_rows))
-    rows = sample.select("doc_id", "label", text_udf(run, "array<double>")(F.col("text")).alias("x")).where("x is not null").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
+    rows = sample.select("doc_id", "label", text_udf(run, "array<double>")(F.col("text")).alias("x")).collect()
+    rows = sorted((r for r in rows if r.x is not None), key=lambda r: (r.doc_id, r.x))  # here, as a filter on x would be moved under the join, and computed for every document
     if not rows:
         return None
     return fit(np.array([r.x for r in rows]), np.array([r.label for r in rows]))
@@ -161,50 +167,73 @@ def scorer(model):
     return text_udf(run, "double")
 
 
-def threshold(scored: DataFrame, labels: DataFrame, good_weight: float = 5.0) -> tuple[float, float] | None:
+class Scores:
+    """A histogram of all documents' scores in bins of 1/BINS, split by label; as many bins as the range of scores needs, whatever the number of documents."""
+
+    def __init__(self, scored: DataFrame, labels: DataFrame):
+        lab = labels.select("doc_id", F.col("quality").cast("int").alias("q")).where("doc_id is not null and q in (0, 1)").groupBy("doc_id").agg(F.max("q").alias("q"))
+        binned = scored.where("score is not null").select("doc_id", F.floor(F.greatest(F.least("score", F.lit(1000.0)), F.lit(-1000.0)) * BINS).alias("bin"))
+        counts = (
+            binned.join(lab, "doc_id", "left")
+            .groupBy("bin")
+            .agg(F.count("*").alias("n"), F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") == 0).alias("poor"))
+            .orderBy("bin")
+            .collect()
+        )
+        self.bins = np.array([r.bin for r in counts], np.int64)
+        self.n, self.good, self.poor = (np.array([getattr(r, k) for r in counts], np.int64) for k in ("n", "good", "poor"))
+        self.below = np.concatenate([[0], np.cumsum(self.n)])  # documents below bin i; last, all
+
+    def quantile(self, good_weight: float = 5.0) -> float | None:
+        """Of all score quantiles, the one at which the labelled rows show least loss.
+
+        The loss is the share of poor ones kept, plus good_weight times the share of
+        good ones lost; of equal ones, the middle of the widest gap in the scores.
+        None without rows of both labels.
+        """
+        if not self.good.sum() or not self.poor.sum():
+            return None
+        lost = np.concatenate([[0], np.cumsum(self.good)]) / self.good.sum()
+        kept = 1 - np.concatenate([[0], np.cumsum(self.poor)]) / self.poor.sum()
+        loss = kept + good_weight * lost
+        best = np.flatnonzero(np.isclose(loss, loss.min(), atol=1e-12))  # cut below bin i; len(bins) is above all
+        low, high = self._gaps()
+        return float(self.below[best[np.argmax((high - low)[best])]] / self.below[-1])
+
+    def at(self, quantile: float) -> float:
+        """The score below which that share of all documents is, within a bin: the middle of the gap between the bins that it parts."""
+        i = int(np.searchsorted(self.below, round(quantile * self.below[-1])))
+        low, high = self._gaps()
+        return float((low[i] + 1 + high[i]) / 2 / BINS)
+
+    def _gaps(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([[self.bins[0] - 1], self.bins]), np.concatenate([self.bins, [self.bins[-1] + 1]])
+
+
+def threshold(scored: DataFrame, labels: DataFrame, quantile: float | None = None, good_weight: float = 5.0) -> tuple[float, float] | None:
     """(score, quantile) to cut at; scored has doc_id and score of all documents.
 
-    Scores are counted in bins of 1/BINS over all documents, split by label. Of
-    all score quantiles, the one is taken at which the labelled rows show least
-    loss: the share of poor ones kept, plus good_weight times the share of good
-    ones lost; of equal ones, the middle of the widest gap in the scores. The
-    quantile is the share of all scored documents below it. The bins number as
-    many as the range of scores needs, whatever the number of documents.
+    The quantile is the one given, or the one that the labels choose; the score is
+    the scores' value at it. None without scores, or without labels to choose by.
     """
-    lab = labels.select("doc_id", F.col("quality").cast("int").alias("q")).where("doc_id is not null and q in (0, 1)").groupBy("doc_id").agg(F.max("q").alias("q"))
-    binned = scored.where("score is not null").select("doc_id", F.floor(F.greatest(F.least("score", F.lit(1000.0)), F.lit(-1000.0)) * BINS).alias("bin"))
-    counts = (
-        binned.join(lab, "doc_id", "left")
-        .groupBy("bin")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") == 0).alias("poor"))
-        .orderBy("bin")
-        .collect()
-    )
-    good, poor, n = (np.array([getattr(r, k) for r in counts], float) for k in ("good", "poor", "n"))
-    if not len(counts) or not good.sum() or not poor.sum():
+    scores = Scores(scored, labels)
+    if not len(scores.bins):
         return None
-    bins = np.array([r.bin for r in counts])
-    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    kept = 1 - np.concatenate([[0], np.cumsum(poor)]) / poor.sum()
-    loss = kept + good_weight * lost
-    best = np.flatnonzero(np.isclose(loss, loss.min(), atol=1e-12))  # cut below bin i; len(bins) is above all
-    low = np.concatenate([[bins[0] - 1], bins])
-    high = np.concatenate([bins, [bins[-1] + 1]])
-    i = best[np.argmax((high - low)[best])]
-    return float((low[i] + 1 + high[i]) / 2 / BINS), float(n[:i].sum() / n.sum())
-
-
-def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, score, keep) for each row of docs (doc_id, text)."""
+    q = scores.quantile(good_weight) if quantile is None else min(1.0, max(0.0, quantile))
+    return None if q is None else (scores.at(q), q)
+
+
+def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, quantile: float | None = None) -> DataFrame:
+    """(doc_id, score, keep) for each row of docs (doc_id, text); keep holds from the score quantile on, which the labels choose unless it is given."""
     docs = docs.select("doc_id", "text")
     model = train(docs, labels, fit_rows)
-    scored = cut(docs.select("doc_id", scorer(model)(F.col("text")).alias("score"), F.col("text").rlike(r"[^\s\x1c-\x1f]").alias("has")))
-    at = threshold(scored, labels)
+    scored = cut(docs.select("doc_id", scorer(model)(F.col("text")).alias("score"), F.col("text").rlike(WORD).alias("has")))
+    at = threshold(scored, labels, quantile)
     keep = F.coalesce(F.col("has"), F.lit(False)) if at is None else F.coalesce(F.col("score") >= at[0], F.lit(False))
     return scored.select("doc_id", "score", keep.alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, quantile: float | None = None) -> DataFrame:
     """The rows of docs that `classify` keeps, with all their columns.
 
     The threshold needs every score before the first decision, so texts are
@@ -213,9 +242,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> D
     slim = docs.select("doc_id", "text")
     model = train(slim, labels, fit_rows)
     if model is None:
-        return docs.where(F.coalesce(F.col("text").rlike(r"[^\s\x1c-\x1f]"), F.lit(False)))
+        return docs.where(F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     score = scorer(model)
-    at = threshold(slim.select("doc_id", score(F.col("text")).alias("score")), labels)
+    at = threshold(slim.select("doc_id", score(F.col("text")).alias("score")), labels, quantile)
     (name,) = free(docs.columns, "score")
     kept = docs.withColumn(name, score(F.col("text")))
     return kept.where(F.col(name).isNotNull() if at is None else F.col(name) >= at[0]).select(*[F.col(f"`{c}`") for c in docs.columns])
