@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .textbytes import slices
 
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def need_integer(df: DataFrame, name: str) -> None:
+    """TypeError unless the column holds integers."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{name} must be an integer column, not {kind.simpleString()}")
+
+
 def free(taken, *wanted: str) -> list[str]:
     """Column names like the wanted ones that don't occur in `taken` (case is ignored)."""
     low = {c.lower() for c in taken}
