@@ -13,118 +13,153 @@ nodes whose marginal is above 1/2, in document order, a line for each block.
 
 Cases. A null, empty or tagless page is one root node with its text. Unclosed and
 misnested tags close as browsers close them for p, li and the like; stray end
-tags are ignored. Scripts, styles and comments have no text. Without labelled
-pages the marginals are unknown (null), and the content is all visible text. A
-null page_id is extracted like any other and never trains; repeated rows give
-equal results. Very long pages are read whole. Columns other than page_id and html
-aren't read.
+tags are ignored; from a tag on that isn't closed by the page's end, all is text.
+Scripts, styles and comments have no text. Without labelled pages the marginals are
+unknown (null), and the content is all visible text. A null page_id is extracted like
+any other and never trains; repeated rows give equal results and train once. Very long
+pages are read whole, in time in proportion to their length; beyond FIT_CHARS
+characters they don't train. No pages give no rows. Columns other than page_id and
+html aren't read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_udf
+from .shared import FIT_CHARS, text_udf
 
 FIT_PAGES = 400  # labelled pages that training reads, at most
 MARKS = ("article", "main")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"</?[a-zA-Z]|<!--|<!\[CDATA\[|<[!?]")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")  # of a tag; quotes hide a closing bracket
+_RAW = frozenset("script style noscript template textarea svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _CLOSES = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 _P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+_SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 _HEAD = frozenset(("head", "title", "meta", "link", "base"))
 _KIND = {t: k for k, ts in enumerate((("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "li", "dl", "dt", "dd"), ("a",), ("nav", "footer", "header", "aside", "form", "button", "menu"), ("table", "tr", "td", "th", "tbody"), tuple(_INLINE - {"a"}), ("html", "body"), tuple(_HEAD))) for t in ts}
 KINDS = 10  # the last is for all other tags, div and the marks among them
 FEATURES = KINDS + 9
 
 
+def tokens(source: str):
+    """(kind, text) in order: "text", "open", "close" or "alone" with a lower-case name; comments, declarations and the inside of raw elements are left out.
+
+    Each step goes on from where the last ended, or ends the page, so time is in
+    proportion to length: a tag that isn't closed by the page's end is text, with all
+    that follows it.
+    """
+    at, end = 0, len(source)
+    while at < end:
+        m = _OPEN.search(source, at)
+        if m is None:
+            break
+        if m.start() > at:
+            yield "text", source[at : m.start()]
+        at, sign = m.start(), m.group()
+        if sign in ("<!--", "<![CDATA[", "<!", "<?"):
+            mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(sign, ">")
+            stop = source.find(mark, at + len(sign))
+            at = end if stop < 0 else stop + len(mark)
+            continue
+        name = _NAME.match(source, at)
+        rest = _REST.match(source, name.end())
+        if rest is None:
+            break
+        at, tag = rest.end(), name.group(2).lower()
+        if name.group(1):
+            yield "close", tag
+        elif tag in _RAW:
+            stop = _raw_end(tag).search(source, at)
+            at = end if stop is None else stop.end()
+        else:
+            yield "alone" if source[at - 2] == "/" and at - 2 >= name.end() else "open", tag
+    if at < end:
+        yield "text", source[at:]
+
+
+@lru_cache(maxsize=16)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*+>", re.I)
+
+
 class Page:
-    """Elements in document order: parent, tag, depth; chunks: (element, text) in document order."""
+    """Elements in document order: parent, tag, depth, block (the nearest that isn't inline, itself included); chunks: (element, text) in document order."""
 
-    __slots__ = ("parent", "tag", "depth", "chunks")
+    __slots__ = ("parent", "tag", "depth", "block", "chunks", "_stack", "_where")
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.depth = [-1], ["#root"], [0]
+        self.parent, self.tag, self.depth, self.block = [-1], ["#root"], [0], [0]
         self.chunks: list[tuple[int, str]] = []
-        stack = [0]
-        at = 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
-            at = m.end()
-            name = m.group(3)
-            if name is None:
-                continue
-            name = name.lower()
-            if m.group(2):
-                self._end(stack, name)
-                continue
-            if name in _P_ENDERS:
-                self._close(stack, {"p"}, frozenset(("table", "td", "th", "button", "article", "section", "div")))
-            if name in _CLOSES:
-                self._close(stack, _CLOSES[name], _SCOPE.get(name, ()))
-            self.parent.append(stack[-1])
-            self.tag.append(name)
-            self.depth.append(self.depth[stack[-1]] + 1)
-            if name not in _VOID and not m.group(4).endswith("/"):
-                stack.append(len(self.tag) - 1)
-        if at < len(source):
-            self._text(stack[-1], source[at:])
-
-    def _text(self, node: int, text: str) -> None:
-        if not text.isspace():
-            self.chunks.append((node, text))
-
-    def _close(self, stack: list[int], names: set[str], scope) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in scope:
-                return
-
-    def _end(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                del stack[k:]
-                return
-            if name in _INLINE and self.tag[stack[k]] not in _INLINE:
-                return
+        self._stack = [0]  # open elements
+        self._where: dict[str, list[int]] = {"#block": [0]}  # places in the stack of each tag, and of all that aren't inline
+        for kind, text in tokens(source):
+            if kind == "text":
+                if not text.isspace():
+                    self.chunks.append((self._stack[-1], text))
+            elif kind == "close":
+                self._end(text)
+            else:
+                self._start(text, kind == "open")
+
+    def _start(self, name: str, stays: bool) -> None:
+        if name in _P_ENDERS:
+            self._close(("p",), ("table", "td", "th", "button", "article", "section", "div"))
+        if name in _CLOSES:
+            self._close(_CLOSES[name], _SCOPE.get(name, ()))
+        above = self._stack[-1]
+        self.parent.append(above)
+        self.tag.append(name)
+        self.depth.append(self.depth[above] + 1)
+        self.block.append(self.block[above] if name in _INLINE else len(self.tag) - 1)
+        if stays and name not in _VOID:
+            self._where.setdefault(name, []).append(len(self._stack))
+            if name not in _INLINE:
+                self._where["#block"].append(len(self._stack))
+            self._stack.append(len(self.tag) - 1)
+
+    def _last(self, names) -> int:
+        """Place in the stack of the innermost of these; 0 for none."""
+        return max((w[-1] for w in map(self._where.get, names) if w), default=0)
+
+    def _pop(self, place: int) -> None:
+        while len(self._stack) > place:
+            name = self.tag[self._stack.pop()]
+            self._where[name].pop()
+            if name not in _INLINE:
+                self._where["#block"].pop()
+
+    def _close(self, names, scope) -> None:
+        place = self._last(names)
+        if place and place > self._last(scope):
+            self._pop(place)
+
+    def _end(self, name: str) -> None:
+        place = self._last((name,))
+        if place and (name not in _INLINE or place > self._where["#block"][-1]):
+            self._pop(place)
 
     def label(self) -> np.ndarray | None:
         """1 for each element inside the one marked element, itself included; None unless there is just one."""
-        marks = [i for i, t in enumerate(self.tag) if t in MARKS]
-        marks = [i for i in marks if not any(j in marks for j in self._above(i))]
-        if len(marks) != 1:
-            return None
-        y = np.zeros(len(self.tag), np.int64)
-        y[marks[0]] = 1
-        for i in range(marks[0] + 1, len(self.tag)):
-            y[i] = y[self.parent[i]]
-        return y
-
-    def _above(self, i: int):
-        i = self.parent[i]
-        while i >= 0:
-            yield i
-            i = self.parent[i]
+        inside = [-1] * len(self.tag)  # the outermost mark around each element
+        for i, t in enumerate(self.tag):
+            above = self.parent[i]
+            inside[i] = inside[above] if above >= 0 and inside[above] >= 0 else i if t in MARKS else -1
+        inside = np.array(inside)
+        return (inside >= 0).astype(np.int64) if len(np.unique(inside[inside >= 0])) == 1 else None
 
 
 class Forest:
@@ -221,11 +256,11 @@ def fit(sources: list[str], steps: int = 150, ridge: float = 1e-3) -> Model | No
     return Model(theta[:FEATURES], theta[FEATURES:].reshape(2, 2))
 
 
-def train(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Model | None:
-    """From at most fit_pages pages that have one of the marks, those with the least hashes of page_id."""
-    marked = pages.select("page_id", "html").where(F.col("page_id").isNotNull() & F.lower("html").rlike("<(?:article|main)[\\s>]"))
-    ids = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
-    rows = pages.select("page_id", "html").where("html is not null").join(F.broadcast(ids), "page_id").collect()
+def train(pages: DataFrame, fit_pages: int = FIT_PAGES, chars: int = FIT_CHARS) -> Model | None:
+    """From at most fit_pages pages of at most `chars` characters that have one of the marks, those with the least hashes of page_id; of rows with one page_id the least html."""
+    slim = pages.select("page_id", "html").where(F.col("page_id").isNotNull() & (F.length("html") <= chars))
+    ids = slim.where(F.lower("html").rlike("<(?:article|main)[\\s>]")).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
+    rows = slim.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()
     return fit([r.html for r in sorted(rows, key=lambda r: (r.page_id, r.html))])
 
 
@@ -247,9 +282,7 @@ def extract_slice(model: Model | None, sources: list[str | None]) -> list[tuple]
         for node, text in page.chunks:
             if page.tag[node] in _HEAD or mine is not None and mine[node] <= 0.5:
                 continue
-            block = node
-            while page.tag[block] in _INLINE and page.parent[block] >= 0:
-                block = page.parent[block]
+            block = page.block[node]
             if block != last:
                 blocks.append([])
                 last = block
