@@ -1,15 +1,16 @@
 """Crawled pages to records: one Arrow pass that parses each page once and gives a struct.
 
-The parser is the standard library's; nothing else in the engine needs Python.
-Main content is the text of the `article` or `main` elements, else all visible
+Nothing else in the engine needs Python. What a record asks of ancestors is handed
+down and what it asks of descendants is handed up, each in one pass over the
+elements, so nesting costs nothing. Main content is the text of the `article` or `main` elements, else all visible
 text. A null or empty page gives empty fields.
 """
 
 from __future__ import annotations
 
+import html as entities
 import json
 import re
-from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
 import pyarrow as pa
@@ -17,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from searchmill.functions import columns as C
+from searchmill.functions import markup
 
 BODY_CHARS = 50_000  # of a body, by the record's definition
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset(("script", "style"))  # tags inside these are text
 SILENT = frozenset(("script", "style", "noscript", "template"))
 CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article nav footer header pre blockquote form aside main".split()), "li": frozenset(("li",)), "td": frozenset(("td", "tr")), "tr": frozenset(("tr",))}
 _PAGE_END = re.compile(r"\.(md|html?)$")
@@ -28,10 +31,14 @@ DULL = frozenset("latest current docs us en en-gb en-us".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "parts")
+    """An element: inside has what holds of it or an element around it; chars and dated are of all its visible text."""
+
+    __slots__ = ("tag", "attrs", "parent", "parts", "inside", "chars", "dated")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
+        own = frozenset(name for name, test in MARKS.items() if test(tag, attrs))
+        self.inside = own if parent is None else parent.inside if own <= parent.inside else parent.inside | own
 
     def walk(self):
         """Elements below this one in document order, by an explicit stack: pages may nest deeper than Python does."""
@@ -53,47 +60,63 @@ class Node:
                 stack.extend(reversed(p.parts))
         return " ".join(out)
 
-    def above(self):
-        n = self.parent
-        while n is not None:
-            yield n
-            n = n.parent
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        while self.at.tag in CLOSED_BY and tag in CLOSED_BY[self.at.tag]:
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.parts.append(node)
-        if tag not in VOID:
-            self.at = node
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
-        n = self.at
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.at = n.parent
-
-    def handle_data(self, data):
-        self.at.parts.append(data)
+MARKS = {
+    "main": lambda tag, attrs: tag in ("article", "main"),
+    "pre": lambda tag, attrs: tag == "pre",
+    # where breadcrumbs are, the surest sign first
+    "crumbs0": lambda tag, attrs: tag == "nav" and "breadcrumb" in attrs.get("aria-label", "").lower(),
+    "crumbs1": lambda tag, attrs: tag == "ol" and "BreadcrumbList" in attrs.get("itemtype", ""),
+    "crumbs2": lambda tag, attrs: "breadcrumb" in attrs.get("class", ""),
+    "crumbs3": lambda tag, attrs: "breadcrumb" in attrs.get("data-testid", ""),
+}
 
 
 def dom(source: str) -> Node:
-    b = _Builder()
-    b.feed(source)
-    b.close()
-    return b.root
+    root = at = Node("#root", {}, None)
+    opened: dict[str, int] = {}
+
+    def leave(to: Node) -> Node:
+        nonlocal at
+        while at is not to:
+            opened[at.tag] -= 1
+            at = at.parent
+        return at
+
+    for kind, text, more in markup.tokens(source, RAW):
+        if kind == "text":
+            at.parts.append(entities.unescape(text))
+        elif kind == "raw":
+            at.parts.append(more)
+            leave(at.parent)
+        elif kind == "close":
+            if opened.get(text):
+                n = at
+                while n.tag != text:
+                    n = n.parent
+                leave(n.parent)
+        else:
+            while text in CLOSED_BY.get(at.tag, ()):
+                leave(at.parent)
+            node = Node(text, markup.attributes(more), at)
+            at.parts.append(node)
+            if kind == "open" and text not in VOID:
+                opened[text] = opened.get(text, 0) + 1
+                at = node
+    return root
+
+
+def _sum_up(nodes: list[Node]) -> None:
+    """chars and dated of each element, from the last to the first: children come after their parents."""
+    for n in reversed(nodes):
+        n.chars, n.dated = 0, False
+        if n.tag in SILENT:
+            continue
+        for p in n.parts:
+            if isinstance(p, Node):
+                n.chars, n.dated = n.chars + p.chars, n.dated or p.dated
+            elif p.strip():
+                n.chars, n.dated = n.chars + len(p.strip()) + 1, n.dated or any(w in p.lower() for w in UPDATED)
 
 
 def squeeze(text: str | None) -> str:
@@ -113,17 +136,8 @@ def _json_ld(nodes: list[Node]) -> dict:
 
 
 def _breadcrumbs(url: str, nodes: list[Node], schema: dict) -> str:
-    def has(n: Node, attr: str, word: str) -> bool:
-        return word in n.attrs.get(attr, "").lower()
-
-    tests = (
-        lambda n: n.tag == "nav" and has(n, "aria-label", "breadcrumb"),
-        lambda n: n.tag == "ol" and "BreadcrumbList" in n.attrs.get("itemtype", ""),
-        lambda n: "breadcrumb" in n.attrs.get("class", ""),
-        lambda n: "breadcrumb" in n.attrs.get("data-testid", ""),
-    )
-    for test in tests:
-        crumbs = [squeeze(a.text()) for a in nodes if a.tag == "a" and any(test(p) for p in a.above())]
+    for test in ("crumbs0", "crumbs1", "crumbs2", "crumbs3"):
+        crumbs = [squeeze(a.text()) for a in nodes if a.tag == "a" and test in a.parent.inside]
         crumbs = [c for c in crumbs if c and len(c) < 80]
         if len(crumbs) >= 2:
             return " > ".join(crumbs[:5])
@@ -146,6 +160,7 @@ def parse(url: str, source: str) -> dict:
     """The record of one page; dates as the first candidates that look like ISO dates."""
     root = dom(source)
     nodes = list(root.walk())
+    _sum_up([root, *nodes])
     by_tag: dict[str, list[Node]] = {}
     for n in nodes:
         by_tag.setdefault(n.tag, []).append(n)
@@ -164,16 +179,14 @@ def parse(url: str, source: str) -> dict:
     first_time = by_tag["time"][0].attrs.get("datetime") if "time" in by_tag else None
     published = [schema.get("datePublished"), meta("property", "article:published_time"), meta("name", "pubdate"), meta("name", "date"), first_time]
     updated = [schema.get("dateModified"), meta("property", "article:modified_time"), meta("name", "last-modified"), meta("http-equiv", "last-modified")]
+    told, untold = [], []
     for n in times:
-        near = n.parent.text().lower() if n.parent is not None else ""
-        if any(w in near for w in UPDATED):
-            updated.insert(0, n.attrs["datetime"])
-        else:
-            updated.append(n.attrs["datetime"])
-    main = [n for n in nodes if n.tag in ("article", "main") and not any(p.tag in ("article", "main") for p in n.above())]
+        (told if n.parent.dated else untold).append(n.attrs["datetime"])
+    updated = [*reversed(told), *updated, *untold]
+    main = [n for n in nodes if "main" in n.inside and "main" not in n.parent.inside]
     body = squeeze(" ".join(n.text() for n in main)) or squeeze(root.text())
     fenced = len(by_tag.get("pre", []))
-    loose = sum(1 for n in by_tag.get("code", []) if len(n.text()) > 30 and not any(p.tag == "pre" for p in n.above()))
+    loose = sum(1 for n in by_tag.get("code", []) if n.chars > 31 and "pre" not in n.parent.inside)
     headings = [squeeze(n.text()) for n in nodes if n.tag in ("h1", "h2", "h3")]
     return {
         "title": title,

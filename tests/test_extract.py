@@ -1,5 +1,8 @@
+import time
+
 from pyspark.sql import functions as F
 
+from searchmill.functions import markup
 from searchmill.operators import extract as X
 
 PAGE = """<!doctype html><html lang="en" class="x"><head><meta charset="utf-8"><title> Sample
@@ -53,3 +56,18 @@ def test_first_date(spark):
     d = spark.createDataFrame([(["x", "2024-01-01", "2024-02-02"],), ([],)], "c array<string>")
     got = [r[0] for r in d.select(F.when(F.size("c") > 0, X.first_date(F.col("c")))).collect()]
     assert str(got[0]) == "2024-01-01 00:00:00" and got[1] is None
+
+
+def test_hostile_pages_take_time_in_proportion():
+    began = time.perf_counter()
+    for html in ("<a " * 350_000, "<time datetime='2024-01-01'>" * 10_000 + "updated", '<a ">" ' * 50_000 + "'", "<script " * 50_000, "<div>" * 20_000 + "</x>" * 20_000, "<code>x " * 10_000):
+        X.parse("https://example.com/a", html)
+    assert time.perf_counter() - began < 20
+    r = X.parse("https://example.com/a", "<p>edited <time datetime='2024-01-01'>" * 10_000)
+    assert len(r["updated"]) == 10_000
+
+
+def test_markup():
+    got = list(markup.tokens("a<!-- x --><B C='1>2' c=3 d>t&amp;</b ><br/><script x>if (a<b) '</p>'</script>z<i", frozenset(("script",))))
+    assert got == [("text", "a", ""), ("open", "b", " C='1>2' c=3 d"), ("text", "t&amp;", ""), ("close", "b", ""), ("alone", "br", "/"), ("open", "script", " x"), ("raw", "script", "if (a<b) '</p>'"), ("text", "z", ""), ("text", "<i", "")]
+    assert markup.attributes(" C='1>2' c=3 d e = \"&amp;\"") == {"c": "1>2", "d": "", "e": "&"}
