@@ -8,8 +8,10 @@ MARGIN of the plain size, and always if the text is blank, the answer is null.
 Cases. A null, empty or white text has no language, margin or sizes (null). A
 null doc_id is classified like any other. Repeated rows are classified each.
 Equal sizes are a tie, hence rejected. Training rows whose lang, text or doc_id is
-null are left out; without any language everything is rejected, with only one
-everything with words gets it, at the full margin. Other columns aren't read.
+null are left out, and rows that repeat an id and language train once; without any
+language everything is rejected, with only one everything with words gets it, at the
+full margin. Very long texts are encoded whole, block by block. No documents give no
+rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from .textbytes import WHITE, text_bytes
 
 FIT_ROWS = 64  # documents of each language that training reads, at most
 DICTIONARY = 64 << 10  # bytes of each dictionary, shared out among them
+FIT_TEXT = 16 << 10  # characters of each of them that training reads, at most, from the middle
 BLOCK = 4096  # bytes encoded at a time
 LEVEL = 3
 MARGIN = 0.01
@@ -35,18 +38,34 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, size: int = DICTIONARY) ->
     """A raw-content dictionary for each language in docs (doc_id, text, lang), from at most fit_rows documents of each.
 
     The documents with the least hashes are taken, by ids first, so that ranking
-    moves no text. Each gives an equal share of the dictionary, from its middle.
+    moves no text; of rows with one id and language the least text. What comes to the
+    driver is bounded by fit_rows and FIT_TEXT for each language. All of them are in
+    the dictionary, as `shared_out` says.
     """
     ids = docs.where("doc_id is not null and lang is not null and text is not null").select("lang", "doc_id").distinct()
     ranked = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
     sample = ranked.where(F.col("n") <= fit_rows).select("lang", "doc_id")
-    share = size // fit_rows
-    middle = F.expr(f"substring(text, greatest(1, cast((length(text) - {share}) / 2 as int)), {share})")
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "doc_id", middle.alias("text")).collect()
-    out: dict[str, bytes] = {}
-    for r in sorted((r for r in rows if r.text and r.text.strip()), key=lambda r: (r.lang, r.doc_id, r.text)):
-        out[r.lang] = out.get(r.lang, b"") + r.text.encode() + b"\n"
-    return {k: v[:size] for k, v in out.items() if len(v) >= 8}
+    middle = F.expr(f"substring(text, greatest(1, cast((length(text) - {FIT_TEXT}) / 2 as int)), {FIT_TEXT})")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "doc_id", middle.alias("text"))
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
+        if r.text and r.text.strip():
+            texts.setdefault(r.lang, []).append(r.text.encode())
+    made = {k: shared_out(v, size) for k, v in texts.items()}
+    return {k: v for k, v in made.items() if len(v) >= 8}
+
+
+def shared_out(texts: list[bytes], size: int) -> bytes:
+    """All texts in order, a line each, in at most `size` bytes. Longer ones are cut to the largest equal share that fits, from their middle, between characters."""
+    low, high = 1, size
+    while low < high:  # the largest share; the sum grows with it
+        share = (low + high + 1) // 2
+        low, high = (share, high) if sum(min(len(t), share) + 1 for t in texts) <= size else (low, share - 1)
+    out = []
+    for t in texts:
+        start = (len(t) - low) // 2 if len(t) > low else 0
+        out.append(t[start : start + low].decode("utf-8", "ignore").encode())
+    return b"\n".join(out) + b"\n"
 
 
 class Classifier:
