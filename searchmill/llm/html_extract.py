@@ -25,22 +25,19 @@ html aren't read.
 from __future__ import annotations
 
 import html as entities
-import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from searchmill.functions import markup
+
 from .shared import FIT_CHARS, text_udf
 
 FIT_PAGES = 400  # labelled pages that training reads, at most
 MARKS = ("article", "main")
 
-_OPEN = re.compile(r"</?[a-zA-Z]|<!--|<!\[CDATA\[|<[!?]")
-_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
-_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")  # of a tag; quotes hide a closing bracket
 _RAW = frozenset("script style noscript template textarea svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -55,47 +52,6 @@ KINDS = 10  # the last is for all other tags, div and the marks among them
 FEATURES = KINDS + 9
 
 
-def tokens(source: str):
-    """(kind, text) in order: "text", "open", "close" or "alone" with a lower-case name; comments, declarations and the inside of raw elements are left out.
-
-    Each step goes on from where the last ended, or ends the page, so time is in
-    proportion to length: a tag that isn't closed by the page's end is text, with all
-    that follows it.
-    """
-    at, end = 0, len(source)
-    while at < end:
-        m = _OPEN.search(source, at)
-        if m is None:
-            break
-        if m.start() > at:
-            yield "text", source[at : m.start()]
-        at, sign = m.start(), m.group()
-        if sign in ("<!--", "<![CDATA[", "<!", "<?"):
-            mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(sign, ">")
-            stop = source.find(mark, at + len(sign))
-            at = end if stop < 0 else stop + len(mark)
-            continue
-        name = _NAME.match(source, at)
-        rest = _REST.match(source, name.end())
-        if rest is None:
-            break
-        at, tag = rest.end(), name.group(2).lower()
-        if name.group(1):
-            yield "close", tag
-        elif tag in _RAW:
-            stop = _raw_end(tag).search(source, at)
-            at = end if stop is None else stop.end()
-        else:
-            yield "alone" if source[at - 2] == "/" and at - 2 >= name.end() else "open", tag
-    if at < end:
-        yield "text", source[at:]
-
-
-@lru_cache(maxsize=16)
-def _raw_end(tag: str) -> re.Pattern:
-    return re.compile(rf"</{tag}\s*+>", re.I)
-
-
 class Page:
     """Elements in document order: parent, tag, depth, block (the nearest that isn't inline, itself included); chunks: (element, text) in document order."""
 
@@ -106,7 +62,9 @@ class Page:
         self.chunks: list[tuple[int, str]] = []
         self._stack = [0]  # open elements
         self._where: dict[str, list[int]] = {"#block": [0]}  # places in the stack of each tag, and of all that aren't inline
-        for kind, text in tokens(source):
+        for kind, text, _ in markup.tokens(source, _RAW):
+            if kind == "raw" or kind == "open" and text in _RAW:
+                continue
             if kind == "text":
                 if not text.isspace():
                     self.chunks.append((self._stack[-1], text))
