@@ -11,8 +11,10 @@ can take it, it opens a bin.
 Documents are packed within shards of about `shard_docs` each, so that work and
 memory of one task are the same at any size of the corpus.
 
-Cases. A null text, or one without tokens, is no item and gets no row. A null
-doc_id is packed like any other. Repeated rows are packed each. Ties between bins
+Cases. doc_id may have any type that can be compared, and keeps it. A null text, or
+one without tokens, is no item and gets no row; long texts are counted whole and cut
+into pieces. A null doc_id is packed like any other. Repeated rows are packed each,
+and spread over the shards like other rows. Ties between bins
 go to the oldest bin, ties between items to the lesser doc_id, then to any (they
 are alike). No documents give no rows. Columns other than doc_id and text aren't
 read.
@@ -24,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 from .shared import TOKENIZERS
 from .tokens import count_udf
@@ -33,7 +36,7 @@ DOCS = 64  # documents, or pieces, of a bin
 ATTENTION = 0.75  # sum of squared lengths, as a share of CONTEXT squared
 SHARD_DOCS = 4096
 
-SCHEMA = "doc_id bigint, piece int, n_tokens bigint, bin_id string, position int"
+SCHEMA = "piece int, n_tokens bigint, bin_id string, position int"
 
 
 def pack(lengths: np.ndarray, context: int = CONTEXT, docs: int = DOCS, attention: float = ATTENTION, rule: str = "dot") -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +86,13 @@ def packed(docs: DataFrame, context: int = CONTEXT, max_docs: int = DOCS, attent
     last have largest_piece tokens. Only ids and counts are shuffled, to shards.
     """
     longest = largest_piece(context, attention)
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
     rows = docs.select("doc_id", "text")
     shards = max(1, -(-rows.count() // shard_docs))
     counted = rows.select("doc_id", count_udf(folder)(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
-    # repeated ids must not gather in one shard: the length takes part, and a hash of nothing else is stable under retries
-    shard = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int")
+    # rows alike in both are counted before they move, and numbered after: their copies must not gather in one shard
+    counted = counted.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("copies")).select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    shard = F.pmod(F.xxhash64("doc_id", "n_tokens", "copy"), F.lit(shards)).cast("int")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         n = frame["n_tokens"].to_numpy(np.int64)
@@ -96,17 +101,21 @@ def packed(docs: DataFrame, context: int = CONTEXT, max_docs: int = DOCS, attent
         row = np.repeat(np.arange(len(n)), count)
         piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         size = np.minimum(n[row] - piece * longest, longest)
+        if whole:  # a null came as 0: among integers pandas would make all floats
+            ids = pd.Series(pd.arrays.IntegerArray(ids.to_numpy(np.int64), frame["nameless"].to_numpy(bool)))
         rank = ids.rank(method="dense", na_option="bottom").fillna(0).to_numpy(np.float64)
         order = np.lexsort((piece, rank[row], -size))
         bins, places = pack(size[order], context, max_docs, attention, rule)
         return pd.DataFrame(
             {
-                "doc_id": ids.iloc[row[order]].to_numpy(),
+                "doc_id": ids.iloc[row[order]].reset_index(drop=True),
                 "piece": piece[order].astype(np.int32),
                 "n_tokens": size[order],
                 "bin_id": [f"{key[0]}-{b}" for b in bins],
                 "position": places,
             }
-        ).astype({"doc_id": "Int64"})
+        )
 
-    return counted.withColumn("shard", shard).groupBy("shard").applyInPandas(run, SCHEMA)
+    kind = StructType([docs.schema["doc_id"], *StructType.fromDDL(SCHEMA).fields])
+    name = F.coalesce("doc_id", F.lit(0)) if whole else F.col("doc_id")
+    return counted.select(name.alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), "n_tokens", shard.alias("shard")).groupBy("shard").applyInPandas(run, kind)
