@@ -194,8 +194,7 @@ def test_large_groups_widen_the_beam():
     x = np.concatenate([c + 0.05 * rng.normal(size=(200, 32)) for c in centers] + [rng.normal(size=(400, 32))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = hnsw.Graph(x)
-    a, b = g.near(x.astype(np.float32), 0.9, beam=16)
-    got = set(zip(a.tolist(), b.tolist()))
+    got = {p for a, b, _ in g.near(x.astype(np.float32), 0.9, beam=16) for p in zip(a.tolist(), b.tolist())}
     want = set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.9 + 1e-4))))
     assert len(got & want) >= 0.95 * len(want)
 
@@ -216,8 +215,7 @@ def test_beam_is_settled_without_pairs_to_audit():
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     audit = np.argsort(hnsw.mix(np.arange(len(q), dtype=np.uint64)), kind="stable")[: hnsw.AUDIT_ROWS]
     q[np.setdiff1d(np.arange(len(q)), audit)[: len(copies)]] = copies
-    a, b = g.near(q.astype(np.float32), hnsw.THRESHOLD, g.settled(hnsw.THRESHOLD))
-    got = set(zip(a.tolist(), b.tolist()))
+    got = {p for a, b, _ in g.near(q.astype(np.float32), hnsw.THRESHOLD, g.settled(hnsw.THRESHOLD)) for p in zip(a.tolist(), b.tolist())}
     want = set(zip(*map(np.ndarray.tolist, np.nonzero(q @ x.T >= hnsw.THRESHOLD))))
     assert len(want) > 200 and not (q[audit] @ x.T >= hnsw.THRESHOLD).any()
     assert len(got & want) >= 0.95 * len(want)
