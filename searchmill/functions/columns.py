@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 
 TRACKING = r"^(utm_|fbclid|gclid)"
 
-# (what is matched, pattern, kind): the first match wins
-_KINDS = (
-    ("path", r"/(openapi|api-docs|api[/-]v\d|api[_/-]reference)/", "reference"),
-    ("path", r"/(enum[/-]|namespace[/-]|type[/-]|interface[/-]|class[/-]|reference)/", "reference"),
-    ("path", r"/(walkthroughs?|step[_-]by[_-]step|tutorials?)/", "tutorial"),
-    ("path", r"/(cookbook|quickstart|getting[_-]started|how[_-]to|guides?)/", "guide"),
-    ("path", r"/(fundamentals?|concepts?|overview|introduction|learn)/", "guide"),
-    ("path", r"/(release[_-]notes?|changelog|articles?|news|posts?|blog)/", "blog"),
-    ("title", r"\breference\b.*\bapi\b|\bapi\b.*\breference\b", "reference"),
-    ("title", r"\b(property|method|function|enum|namespace|type|interface|class)\b", "reference"),
-    ("title", r"\bstep.by.step\b|\bwalkthrough\b|\btutorial\b", "tutorial"),
-    ("title", r"\b(getting started|introduction|overview|guide)\b", "guide"),
+# where to look, for what, and what it says about a page: the first match wins. In paths these are whole segments, in titles whole words
+_SEP = "[-_]"
+_KINDS = tuple(
+    (where, (r"/(%s)/" if where == "path" else r"\b(%s)\b") % "|".join(words), kind)
+    for where, kind, words in (
+        ("path", "reference", ("api-docs", "openapi", "api[-_/]reference", r"api[-/]v\d")),
+        ("path", "reference", ("reference", *(f"{x}[-/]" for x in ("class", "interface", "type", "namespace", "enum")))),
+        ("path", "tutorial", ("tutorials?", "walkthroughs?", f"step{_SEP}by{_SEP}step")),
+        ("path", "guide", ("guides?", f"how{_SEP}to", f"getting{_SEP}started", "quickstart", "cookbook")),
+        ("path", "guide", ("learn", "introduction", "overview", "concepts?", "fundamentals?")),
+        ("path", "blog", ("blog", "posts?", "news", "articles?", "changelog", f"release{_SEP}notes?")),
+        ("title", "reference", (r"api\b.*\breference", r"reference\b.*\bapi")),
+        ("title", "reference", ("class", "interface", "type", "namespace", "enum", "function", "method", "property")),
+        ("title", "tutorial", ("tutorial", "walkthrough", "step.by.step")),
+        ("title", "guide", ("guide", "overview", "introduction", "getting started")),
+    )
 )
 FRESH_DAYS, OK_DAYS = 7, 30
 
@@ -152,13 +156,35 @@ def cadence_label(hours: Column) -> Column:
     return out
 
 
+def compact_number(n: Column) -> Column:
+    """A whole number for display: in thousands, millions and so on with one decimal from 10,000 on, a zero decimal left out; with commas below."""
+    out = F.format_number(n, 0)
+    for power, sign in ((3, "K"), (6, "M"), (9, "B"), (12, "T")):
+        unit = 10**power
+        tenths = F.floor((n + unit // 20) / (unit // 10))
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 > 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise(F.lit("")), F.lit(sign))
+        least = 10_000 if power == 3 else unit - unit // 20000  # what rounds up to a whole unit is one
+        out = F.when(n >= least, text).otherwise(out)
+    return out
+
+
+def flag(value: Column, default: bool = False) -> Column:
+    """A setting's text as a truth value; only null takes the default."""
+    return F.coalesce(F.lower(F.trim(value)).isin("1", "true", "yes", "on"), F.lit(default))
+
+
+def at_least(value: Column, default: int, least: int) -> Column:
+    """A setting's text as a whole number, blank and null as the default, never below `least`."""
+    return F.greatest(F.lit(least), F.coalesce(F.when(F.trim(value) != "", F.trim(value).cast("int")), F.lit(default)))
+
+
 def status_label(status: Column, other: str = "Pending") -> Column:
     known = status.isin("healthy", "crawling", "failing")
     return F.when(known, F.initcap(status)).otherwise(F.lit(other))
 
 
 def is_uuid(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"(?i)^\p{XDigit}{8}-\p{XDigit}{4}-[1-8]\p{XDigit}{3}-[89ab]\p{XDigit}{3}-\p{XDigit}{12}$"), F.lit(False))
+    return F.coalesce(x.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), F.lit(False))
 
 
 def decode_entities(x: Column) -> Column:

@@ -42,6 +42,43 @@ def dedupe_cap(values: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(kept), 1, most)
 
 
+def toggled(values: Column, value: Column) -> Column:
+    """Without the value if it is there, else with it at the end."""
+    return F.when(F.array_contains(values, value), F.array_remove(values, value)).otherwise(F.array_append(values, value))
+
+
+def worth_running(q: Column, lists: list[Column], within: Column) -> Column:
+    """Whether a request asks for anything: a query, a filter value or an age; date bounds alone don't count."""
+    filters = sum((F.coalesce(F.size(v), F.lit(0)) for v in lists), F.lit(0))
+    return (F.trim(q) != "") | (filters > 0) | within.isNotNull()
+
+
+def mode(search_up: Column, database_up: Column, demo_allowed: Column) -> Column:
+    """How the service answers by which of its two backends are up."""
+    return F.when(search_up & database_up, "live").when(search_up | database_up, "degraded").when(demo_allowed, "demo").otherwise("unavailable")
+
+
+def request_problem(q: Column, page: Column, limit: Column, sort: Column, first: Column, last: Column) -> Column:
+    """What a strict service refuses about a request, null for nothing."""
+    day = r"^\d{4}(-\d\d){2}$"
+    bad = lambda d: d.isNotNull() & ~d.rlike(day)
+    return (
+        F.when(F.length(F.trim(q)) > 200, "q")
+        .when(~page.between(1, 10_000), "page")
+        .when(~limit.between(1, 50), "limit")
+        .when(~sort.isin("relevance", "newest", "oldest"), "sort")
+        .when(bad(first) | bad(last), "date")
+        .when(first > last, "range")
+    )
+
+
+def address(q: Column, sources: Column, sort: Column, page: Column) -> Column:
+    """URL parameters of a request, defaults left out."""
+    listed = F.array_join(F.transform(sources, lambda s: F.concat(F.lit("source="), F.url_encode(s))), "&")
+    parts = [F.when(q != "", F.concat(F.lit("q="), F.url_encode(q))), F.when(listed != "", listed), F.when(sort != "relevance", F.concat(F.lit("sort="), sort)), F.when(page != 1, F.concat(F.lit("page="), page.cast("string")))]
+    return F.concat_ws("&", *parts)
+
+
 def batch_number(n: Column, size: int) -> Column:
     return F.floor((n - 1) / size)
 

@@ -24,19 +24,26 @@ BODY_CHARS = 50_000  # of a body, by the record's definition
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))  # tags inside these are text
 SILENT = frozenset(("script", "style", "noscript", "template"))
-CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article nav footer header pre blockquote form aside main".split()), "li": frozenset(("li",)), "td": frozenset(("td", "tr")), "tr": frozenset(("tr",))}
+INLINE = frozenset("a abbr b cite code del dfn em font i ins kbd label mark q s samp small span strong sub sup tt u var".split())
+CLOSED_BY = {  # an open element and the tags before which it ends, with the inline ones in it
+    "p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article nav footer header pre blockquote form aside main".split()),
+    "li": frozenset(("li",)),
+    "td": frozenset(("td", "tr")),
+    "tr": frozenset(("tr",)),
+}
 _PAGE_END = re.compile(r"\.(md|html?)$")
 UPDATED = ("modified", "updated", "edited")
 DULL = frozenset("latest current docs us en en-gb en-us".split())
 
 
 class Node:
-    """An element: inside has what holds of it or an element around it; chars and dated are of all its visible text."""
+    """An element: inside has what holds of it or an element around it, block is the nearest that isn't inline; chars and dated are of all its visible text."""
 
-    __slots__ = ("tag", "attrs", "parent", "parts", "inside", "chars", "dated")
+    __slots__ = ("tag", "attrs", "parent", "parts", "inside", "block", "chars", "dated")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
+        self.block = parent.block if tag in INLINE and parent is not None else self
         own = frozenset(name for name, test in MARKS.items() if test(tag, attrs))
         self.inside = own if parent is None else parent.inside if own <= parent.inside else parent.inside | own
 
@@ -96,8 +103,8 @@ def dom(source: str) -> Node:
                     n = n.parent
                 leave(n.parent)
         else:
-            while text in CLOSED_BY.get(at.tag, ()):
-                leave(at.parent)
+            while text in CLOSED_BY.get(at.block.tag, ()):
+                leave(at.block.parent)
             node = Node(text, markup.attributes(more), at)
             at.parts.append(node)
             if kind == "open" and text not in VOID:

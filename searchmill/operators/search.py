@@ -202,6 +202,34 @@ def snippet(body: Column, terms: list[str], width: int = 35) -> Column:
     return F.array_join(F.slice(words, F.greatest(F.lit(1), spot - width // 2).cast("int"), F.lit(width)), " ")
 
 
+def marked(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """docs with m_title, m_headings, m_section_path, m_meta_description and m_body: texts with matches in em tags, the body cropped around the first of them."""
+    plain = {f"m_{c}": highlight(F.coalesce(c, F.lit("")), terms) for c in ("title", "section_path", "meta_description")}
+    return docs.withColumns({**plain, "m_headings": F.transform("headings", lambda h: highlight(h, terms)), "m_body": highlight(snippet(F.coalesce("body", F.lit("")), terms), terms)})
+
+
+def response(docs: DataFrame, q: str, where: Column | None = None, sort: str = "relevance", number: int = 1, size: int = 10) -> DataFrame:
+    """One page as the service answers it: each hit with its rank, marked texts and why it matched, and the exact total beside it.
+
+    Texts are marked on the page's rows only. The total is one row, so joining it costs nothing.
+    """
+    found, keys = ranked(docs, q, where, sort)
+    top = marked(page(found, keys, number, size), query_terms(q))
+    why = why_matched({"title": F.col("m_title"), "headings": F.array_join("m_headings", " "), "section": F.col("m_section_path"), "description": F.col("m_meta_description"), "body": F.col("m_body")})
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return top.join(F.broadcast(total)).select(
+        "rank",
+        "id",
+        F.coalesce("title", F.lit("Untitled")).alias("title"),
+        "url",
+        "source_name",
+        F.col("m_body").alias("snippet"),
+        F.filter(F.array("m_title", "m_meta_description"), lambda h: h != "").alias("highlights"),
+        why.alias("why"),
+        "total",
+    )
+
+
 def why_matched(marked: dict[str, Column]) -> Column:
     """Labels of the marked-up fields that hold a highlight, in the order given."""
     return F.array_compact(F.array(*[F.when(F.contains(c, F.lit("<em>")), F.lit(label)) for label, c in marked.items()]))

@@ -30,12 +30,6 @@ def scan_pages(spark, d):
     return _pages(spark, d).select("page_id", "url", F.length("html").cast("bigint").alias("html_chars"))
 
 
-@query()
-def parse_pages(spark, d):
-    """Every field of every page; the parts that SQL can say have oracles of their own."""
-    return _parsed(spark, d)
-
-
 @query(f"SELECT page_id, {TITLE} AS title FROM pages", views=False)
 def extract_title(spark, d):
     return _parsed(spark, d).select("page_id", "title")
@@ -51,12 +45,19 @@ def extract_links(spark, d):
     return _parsed(spark, d).select("page_id", "links")
 
 
-@query()
+BARE = "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g')"
+FIRST_P = f"""trim(regexp_replace({ENTITIES.format(f"replace(regexp_replace(regexp_extract({BARE}, '(?s)<p>(.*?)(?:</p>|<p>|<div|<ul|<table|<h[1-6]|</article|</div|</body|$)', 1), '<[^>]*>', ' ', 'g'), '&copy;', '©')")}, '[\\s\\x{{00a0}}]+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, {FIRST_P} AS meta_description FROM pages", views=False)
 def extract_description(spark, d):
     return _parsed(spark, d).select("page_id", "meta_description")
 
 
-@query(f"SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<h[123]>([^<]*)</h[123]>', 1), lambda x: trim(regexp_replace({ENTITIES.format('x')}, '\\s+', ' ', 'g'))), lambda x: x <> '') AS headings FROM pages", views=False)
+HEADINGS = f"list_filter(list_transform(regexp_extract_all(html, '<h[123]>([^<]*)</h[123]>', 1), lambda x: trim(regexp_replace({ENTITIES.format('x')}, '\\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"SELECT page_id, {HEADINGS} AS headings FROM pages", views=False)
 def extract_headings(spark, d):
     return _parsed(spark, d).select("page_id", "headings")
 
@@ -79,8 +80,11 @@ def extract_body(spark, d):
     return _parsed(spark, d).select("page_id", "body", "word_count", "content_hash")
 
 
-@query("""SELECT page_id, CASE WHEN len(k) >= 2 THEN array_to_string(k[1:4], ' > ') ELSE '' END AS section_path FROM (SELECT page_id, list_filter(list_transform(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''),
-lambda x: upper(x[1]) || lower(regexp_replace(x[2:], '[.](md|html?)$', ''))), lambda x: length(x) > 1 AND lower(x) NOT IN ('docs', 'latest', 'current', 'us', 'en')) AS k FROM pages)""", views=False)
+SECTION = """SELECT page_id, CASE WHEN len(k) >= 2 THEN array_to_string(k[1:4], ' > ') ELSE '' END AS section_path FROM (SELECT page_id, list_filter(list_transform(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''),
+lambda x: upper(x[1]) || lower(regexp_replace(x[2:], '[.](md|html?)$', ''))), lambda x: length(x) > 1 AND lower(x) NOT IN ('docs', 'latest', 'current', 'us', 'en')) AS k FROM pages)"""
+
+
+@query(SECTION, views=False)
 def section_path(spark, d):
     return _parsed(spark, d).select("page_id", "section_path")
 
@@ -90,6 +94,18 @@ def code_blocks(spark, d):
     return _parsed(spark, d).select("page_id", "code_block_count")
 
 
+KIND = """CASE WHEN regexp_matches(url, '(?i)^https?://[^?#]*/(blog|posts?|news|articles?)/') THEN 'blog'
+WHEN regexp_matches(html, '(?i)<title>[^<]*\\b(property|method|function|enum|namespace|type|interface|class)\\b') THEN 'reference' ELSE 'guide' END"""
+
+
+@query(f"""SELECT page_id, url, {TITLE} AS title, {FIRST_P} AS meta_description, url AS canonical_url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, CAST(NULL AS TIMESTAMP) AS published_at, CAST(NULL AS TIMESTAMP) AS last_updated_at,
+{HEADINGS} AS headings, {LINKS} AS links, body, sha256(body) AS content_hash, CASE WHEN body = '' THEN 0 ELSE len(string_split(trim(body), ' ')) END AS word_count, CAST(0 AS INT) AS code_block_count, CAST([] AS VARCHAR[]) AS tags, '{{}}' AS schema_json,
+{KIND} AS content_type, section_path FROM (SELECT *, left({BODY}, 50000) AS body FROM pages) JOIN ({SECTION}) s USING (page_id)""", views=False)
+def parse_pages(spark, d):
+    """Every field of every page."""
+    return _parsed(spark, d)
+
+
 # discovery over the link graph of the pages
 
 

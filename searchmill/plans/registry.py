@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, pages, scalars, search, state  # noqa: F401  (each registers its queries)
+from . import analytics, pages, scalars, search, service, state  # noqa: F401  (each registers its queries)
 from .base import ORACLES, QUERIES
 
 

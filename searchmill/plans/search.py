@@ -192,14 +192,27 @@ def _marked(x: str) -> str:
     return f"({twice})[2:-2]"
 
 
-@query(f"SELECT id, {_marked('title')} AS title, {_marked('meta_description')} AS meta_description FROM docs")
+CROPPED = """SELECT id, array_to_string(w[greatest(1, spot - 17):greatest(1, spot - 17) + 34], ' ') AS snippet FROM (SELECT id, w, coalesce(list_min(list_filter([list_position(b, 'the'), list_position(b, 'and')], lambda x: x > 0)), 1) AS spot
+FROM (SELECT id, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g')) AS b FROM (SELECT id, string_split(body, ' ') AS w FROM docs)))"""
+MARKED = f"SELECT id, {_marked('title')} AS m_title, list_transform(headings, lambda h: {_marked('h')}) AS m_headings, {_marked('section_path')} AS m_section_path, {_marked('meta_description')} AS m_meta_description, {_marked('snippet')} AS m_body FROM docs JOIN ({CROPPED}) c USING (id)"
+
+
+@query(MARKED)
 def highlight(spark, d):
-    terms = S.query_terms(PAIR)
-    return V.docs(spark, d).select("id", *[S.highlight(F.col(c), terms).alias(c) for c in ("title", "meta_description")])
+    return S.marked(V.docs(spark, d), S.query_terms(PAIR)).select("id", "m_title", "m_headings", "m_section_path", "m_meta_description", "m_body")
+
+
+WHY = " ".join(f"CASE WHEN contains({x}, '<em>') THEN '{label}' END," for label, x in (("title", "m_title"), ("headings", "array_to_string(m_headings, ' ')"), ("section", "m_section_path"), ("description", "m_meta_description"), ("body", "m_body")))
+
+
+@query(metrics_sql(PAIR) + f""", texts AS ({MARKED}), hits AS (SELECT id, title, url, source_name, row_number() OVER (ORDER BY {order_sql()}) AS rank, count(*) OVER () AS total FROM found WHERE {WHERE})
+SELECT rank, id, title, url, source_name, m_body AS snippet, list_filter([m_title, m_meta_description], lambda x: x <> '') AS highlights, list_filter([{WHY[:-1]}], lambda x: x IS NOT NULL) AS why, total FROM hits JOIN texts USING (id) WHERE rank BETWEEN 11 AND 20""")
+def search_response(spark, d):
+    """The whole answer to a search: second page, filtered."""
+    return S.response(V.scored_docs(spark, d), PAIR, _where(), number=2)
 
 
-@query("""SELECT id, array_to_string(w[greatest(1, spot - 17):greatest(1, spot - 17) + 34], ' ') AS snippet FROM (SELECT id, w, coalesce(list_min(list_filter([list_position(b, 'the'), list_position(b, 'and')], lambda x: x > 0)), 1) AS spot
-FROM (SELECT id, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g')) AS b FROM (SELECT id, string_split(body, ' ') AS w FROM docs)))""")
+@query(CROPPED)
 def snippet(spark, d):
     return V.docs(spark, d).select("id", S.snippet(F.col("body"), S.query_terms(PAIR)).alias("snippet"))
 

@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
+import tempfile
+import threading
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchmill.operators import search as S
 
+T = TypeVar("T")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of that name for intermediate tables, in the session's spark.checkpoint.dir; only in local mode a temporary one serves where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        base = tempfile.mkdtemp(prefix="searchmill-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def within(spark: SparkSession, action: Callable[[], T], seconds: float, service: str) -> T:
+    """The action's result; its jobs are cancelled, and TimeoutError names the service, if it takes longer."""
+    sc, tag, late = spark.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return action()
+    except Exception:
+        if late.is_set():
+            raise TimeoutError(f"{service} service unavailable") from None
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
 
 def write_snapshot(df: DataFrame, base: str, version: str) -> str:
     """Writes a version of a table and returns its path; an existing version isn't touched."""
