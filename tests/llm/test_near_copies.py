@@ -213,7 +213,7 @@ def test_beam_is_settled_without_pairs_to_audit():
     g = hnsw.Graph(x)
     q = rng.normal(size=(1000, 128))
     q /= np.linalg.norm(q, axis=1, keepdims=True)
-    audit = np.argsort(hnsw.mix(np.arange(len(q), dtype=np.uint64)), kind="stable")[: hnsw.AUDIT_ROWS]
+    audit = np.argsort(hnsw.mix(np.arange(len(q), dtype=np.uint64)), kind="stable")[: -(-len(q) // hnsw.AUDIT_SHARE)]
     q[np.setdiff1d(np.arange(len(q)), audit)[: len(copies)]] = copies
     got = {p for a, b, _ in g.near(q.astype(np.float32), hnsw.THRESHOLD, g.settled(hnsw.THRESHOLD)) for p in zip(a.tolist(), b.tolist())}
     want = set(zip(*map(np.ndarray.tolist, np.nonzero(q @ x.T >= hnsw.THRESHOLD))))
