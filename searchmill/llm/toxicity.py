@@ -14,11 +14,19 @@ toxic if the score is positive. The strings are the words, and every join of
 neighbouring words of a sentence that is no longer than the longest insult known
 with two symbols put in: an insult broken by spaces is one of these.
 
+What trains. Labels are of documents, of which only some sentences are toxic. So the
+machine isn't trained on whole sentences but on their strings: those of toxic
+documents' sentences that keep to such sentences by more than chance (`telling`), with
+disguises of them, against all strings of clean documents.
+
 Cases. A null, empty or white text has no score (null), no sentences, and isn't
-toxic. Long words are scored in overlapping windows, each whole. Rows with a null
-doc_id are scored and never train; repeated rows score alike. Without labels of
-both classes, or no word that tells them apart, all scores are -1: nothing is
-toxic. Columns other than doc_id and text are carried along by `drop_toxic`.
+toxic. A score of exactly 0 isn't toxic; of equally bad sentences any is the worst.
+Very long texts are scored whole, words of over WINDOW symbols in windows at every
+place. Rows with a null doc_id are scored and never
+train; repeated rows score alike and train once; texts of over FIT_CHARS characters
+don't train. Without labels of both classes, or no string that tells them apart, all
+scores are -1: nothing is toxic. No documents give no rows. Columns other than doc_id
+and text are carried along by `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -37,9 +45,13 @@ from .textbytes import WHITE, mix, slices, span_hashes, text_bytes, words
 
 FIT_ROWS = 1500  # labelled documents of each class that training reads, at most
 LANDMARKS = 512
+FREQUENT, HASHED, ADDED = 1000, 1000, 1000  # clean strings that train: the most frequent, a sample by hash, and in each round those that score highest
+ROUNDS = 8
+PROBES = 1000  # clean strings that score highest, against which disguises are tried
 NEAR = 0.6  # kernel with a clean word from which a word isn't given disguises
 DECAY = 0.7
-WINDOW, STRIDE = 20, 10  # of words longer than WINDOW symbols
+WINDOW = 20  # symbols of the longest strings
+WINDOWS = (20, 10)  # longer words are scored in windows of these sizes at every place: an insult is whole in one, and not alone among many symbols
 SIZE = 40  # symbols: 0 none, a-z, a digit, 13 for bytes of longer characters
 NAME = f"S{WINDOW}"  # a string of symbols: millions of them as objects would outgrow the driver
 _MIN_SCORE = -1.0
@@ -146,16 +158,16 @@ class Words:
         self.items: list[tuple[np.ndarray, np.ndarray]] = []  # (strings, sentence of each), one for each length
         long = size > WINDOW
         if long.any():
-            count = -(-(size[long] - WINDOW) // STRIDE) + 1
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.minimum(np.repeat(begin[long], count) + step * STRIDE, np.repeat(begin[long] + size[long] - WINDOW, count))
-            begin = np.concatenate([begin[~long], at])
-            sentence = np.concatenate([sentence[~long], np.repeat(sentence[long], count)])
-            size = np.concatenate([size[~long], np.full(len(at), WINDOW)])
+            parts = [(begin[~long], sentence[~long], size[~long])]
+            for width in WINDOWS:
+                count = size[long] - width + 1
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                parts.append((np.repeat(begin[long], count) + step, np.repeat(sentence[long], count), np.full(len(step), width)))
+            begin, sentence, size = (np.concatenate(x) for x in zip(*parts))
         for length in range(3, WINDOW + 1):
             mine = np.flatnonzero(size == length)
             if len(mine):
-                self.items.append((kept[begin[mine][:, None] + np.arange(length)], sentence[mine]))
+                self.items.append((np.lib.stride_tricks.sliding_window_view(kept, length)[begin[mine]], sentence[mine]))
 
     def joined(self, most: int):
         """(strings, sentence of each), one for each length: all of two or more neighbouring words that have 3 to `most` symbols together."""
@@ -177,7 +189,7 @@ class Words:
         for length in range(3, most + 1):
             mine = np.flatnonzero(total == length)
             if len(mine):
-                yield self.kept[begin[mine][:, None] + np.arange(length)], sentence[mine]
+                yield np.lib.stride_tricks.sliding_window_view(self.kept, length)[begin[mine]], sentence[mine]
 
     @staticmethod
     def _runs(size: np.ndarray, owner: np.ndarray, sentence: np.ndarray) -> np.ndarray:
@@ -339,16 +351,16 @@ def _named(strings: np.ndarray) -> np.ndarray:
     return out.view(NAME).ravel()
 
 
-def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 8) -> Model:
+def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS, frequent: int = FREQUENT, hashed: int = HASHED, added: int = ADDED, probes: int = PROBES) -> Model:
     """The model from whole labelled texts, of which only some sentences are toxic.
 
     Positive are the words that `telling` finds, and the joins that it finds in the
     sentences without such a word, with disguises of those that nothing clean comes
     near (a disguise would claim that too). Places are counted by different
     sentences, so copies of one text count once. Every word or join of a clean text
-    that isn't more frequent in toxic ones is a negative: at first the
-    most frequent ones and a hashed sample, then, round by round, those that score
-    highest.
+    that isn't more frequent in toxic ones is a negative, and all of them are scored in
+    every round: at first the `frequent` most frequent ones and `hashed` by hash train,
+    then, round by round, the `added` that score highest besides.
     """
     toxic = np.asarray(toxic, bool)
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
@@ -387,9 +399,8 @@ def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
     rng = np.random.default_rng(11)
     every_positive = [np.frombuffer(names[i], np.uint8) for i in positive]
     hidden: list[np.ndarray] = []
-    hashed = np.argsort(mix(hashes_of(names[negative])), kind="stable")[:1000]
-    frequent = negative[np.argsort(-count[negative, 1], kind="stable")[:1000]]
-    chosen = list(dict.fromkeys([*frequent, *negative[hashed]]))
+    some = np.argsort(mix(hashes_of(names[negative])), kind="stable")[:hashed]
+    chosen = list(dict.fromkeys([*negative[np.argsort(-count[negative, 1], kind="stable")[:frequent]], *negative[some]]))
     lengths = np.char.str_len(names[negative])
     pool = [(m := negative[lengths == length], names[m].view(np.uint8).reshape(-1, WINDOW)[:, :length]) for length in np.unique(lengths)]
     model, hard, stress = Model(None, _MIN_SCORE), [], {}
@@ -409,9 +420,9 @@ def fit(column: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
             break
         for i, f in scored:
             stress[i] = stress.get(i, 1.0) * (4.0 if f > 0 else 1.0)  # one clean word among many toxic neighbours must count for as much as they do
-        chosen += new[:1000]
+        chosen += new[:added]
         if not number:
-            near = Kernel(every_positive).rows([np.frombuffer(names[i], np.uint8) for i in hard[:1000]]).max(0, initial=0)
+            near = Kernel(every_positive).rows([np.frombuffer(names[i], np.uint8) for i in hard[:probes]]).max(0, initial=0)
             hidden = [w for s, k in zip(every_positive, near) if k < NEAR for w in disguises(s, rng)]
     model.longest = longest
     return model

@@ -309,3 +309,10 @@ def test_page_cases(spark, sf_dir):
     assert by[None].content == "x" and by[None].confidence is None
     assert H.extract(pages.limit(0)).count() == 0
     assert queries.op8_html_extraction(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+
+
+def test_an_insult_anywhere_in_a_long_word(tables):
+    model = toxicity.train(tables[0], tables[1].unionByName(tables[2]))
+    text = ["qz" * 10 + "q" * at + "stupid" + "qz" * 40 for at in range(10)]
+    scores = toxicity.score_texts(model, pa.array(text, pa.large_string()))[0]
+    assert scores.min() > 0.5  # wherever it starts
