@@ -71,5 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: trained models, hashing, tokenizers and sampling are beyond SQL; tests/llm holds each query against brute force."""
+    """None: trained models, hashing, tokenizers and sampling are beyond SQL; tests/llm holds each query against plain Python or all pairs (test_whole_queries, test_near_copies, test_tokens)."""
     return {}
