@@ -250,3 +250,16 @@ def test_embedding_cases(spark):
     want = [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9), (10, 10), (11, 11), (None, None)]
     assert got == sorted(want, key=str)
     assert hnsw.near_groups(v.limit(0)).count() == 0
+
+
+def test_recall_over_twenty_thousand_vectors():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64))
+    x[18_000:] = x[:2000] + 0.25 * np.linalg.norm(x[:2000], axis=1, keepdims=True) * rng.normal(size=(2000, 64)) / 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph(x)
+    beam = g.settled(hnsw.THRESHOLD)
+    q = x[16_000:].astype(np.float32)
+    got = {p for lo in range(0, len(q), hnsw.BLOCK) for a, b, _ in g.near(q[lo : lo + hnsw.BLOCK], hnsw.THRESHOLD, beam) for p in zip((a + lo).tolist(), b.tolist())}
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(q @ g.x.T >= hnsw.THRESHOLD))))
+    assert len(want) >= 6000 and len(got & want) >= 0.97 * len(want)
