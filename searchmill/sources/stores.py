@@ -6,7 +6,9 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 from typing import TypeVar
+from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +90,14 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+@lru_cache(maxsize=128)
+def _rules(text: str) -> RobotFileParser:
+    """A site's parsed file; a worker parses the same file once for all batches."""
+    parser = RobotFileParser()
+    parser.parse(text.splitlines())
+    return parser
+
+
 def allowed_by_robots(frontier: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
     """frontier (url, domain, ...) with allowed; robots (domain, robots) holds each site's file.
 
@@ -95,19 +105,7 @@ def allowed_by_robots(frontier: DataFrame, robots: DataFrame, agent: str = "*")
     """
 
     def check(url: pa.Array, rules: pa.Array) -> pa.Array:
-        from urllib.robotparser import RobotFileParser
-
-        parsers: dict[str, RobotFileParser] = {}
-        out = []
-        for u, text in zip(url.to_pylist(), rules.to_pylist()):
-            if text is None:
-                out.append(False)
-                continue
-            if text not in parsers:
-                parsers[text] = RobotFileParser()
-                parsers[text].parse(text.splitlines())
-            out.append(parsers[text].can_fetch(agent, u or ""))
-        return pa.array(out, pa.bool_())
+        return pa.array([text is not None and _rules(text).can_fetch(agent, u or "") for u, text in zip(url.to_pylist(), rules.to_pylist())], pa.bool_())
 
     check.__annotations__ = {"url": pa.Array, "rules": pa.Array, "return": pa.Array}
     return frontier.join(robots.select("domain", "robots"), "domain", "left").withColumn("allowed", F.arrow_udf(check, "boolean")(F.col("url"), F.col("robots"))).drop("robots")

@@ -1,9 +1,13 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from searchmill.functions import columns as C
+from searchmill.sources import index_settings, stores
 from searchmill.sources import requests as R
-from searchmill.sources import stores
 
 
 def test_strict_request():
@@ -66,3 +70,24 @@ def test_robots(spark):
     robots = spark.createDataFrame([("a", "User-agent: *\nDisallow: /private"), ("b", "")], "domain string, robots string")
     got = {r.url: r.allowed for r in stores.allowed_by_robots(frontier, robots).collect()}
     assert got == {"http://a/x": True, "http://a/private/y": False, "http://b/": True, "http://c/": False}
+
+
+def test_within(spark):
+    assert stores.within(spark, lambda: spark.range(10).count(), 60, "search") == 10
+    began = time.perf_counter()
+    with pytest.raises(TimeoutError, match="search service unavailable"):
+        stores.within(spark, lambda: spark.range(10**13).selectExpr("sum(hash(id) % 7)").collect(), 2, "search")
+    assert time.perf_counter() - began < 30
+    assert spark.range(3).count() == 3
+
+
+def test_index_settings(spark):
+    same = spark.createDataFrame([(k, list(v)) for k, v in index_settings.WANTED.items()], index_settings.KIND)
+    assert index_settings.reconcile(same).count() == 0
+    assert index_settings.reconcile(same.limit(0)).count() == len(index_settings.WANTED)
+
+
+def test_compact_numbers(spark):
+    n = [0, 999, 9_999, 10_000, 12_345, 99_949, 99_950, 999_949, 999_950, 1_000_000, 1_250_000, 999_950_000, 7 * 10**12]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in n], "n long").select(C.compact_number(F.col("n"))).collect()]
+    assert got == ["0", "999", "9,999", "10K", "12.3K", "99.9K", "100K", "999.9K", "1M", "1M", "1.3M", "1B", "7T"]
