@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchmill.llm import fingerprints as FP
-from searchmill.llm import hnsw, minhash, queries
+from searchmill.llm import directions, hnsw, minhash, queries
 from searchmill.llm.textbytes import shingles
 
 
@@ -263,3 +263,72 @@ def test_recall_over_twenty_thousand_vectors():
     got = {p for lo in range(0, len(q), hnsw.BLOCK) for a, b, _ in g.near(q[lo : lo + hnsw.BLOCK], hnsw.THRESHOLD, beam) for p in zip((a + lo).tolist(), b.tolist())}
     want = set(zip(*map(np.ndarray.tolist, np.nonzero(q @ g.x.T >= hnsw.THRESHOLD))))
     assert len(want) >= 6000 and len(got & want) >= 0.97 * len(want)
+
+
+def unit_rows(v):
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_work_for_a_row_hardly_grows():
+    """Sixteen times the rows take at most 48 times the comparisons (numbers of cells are powers of two); by all pairs 256 times."""
+    x = unit_rows(np.random.default_rng(9).normal(size=(320_000, 64))).astype(np.float32)
+    compared = []
+    for n in (20_000, 320_000):
+        cells = directions.routes(64, n, hnsw.THRESHOLD, 1024, mean=512).of(x[:n])
+        compared.append(int((np.bincount(cells.ravel()).astype(np.int64) ** 2).sum()))
+    assert compared[0] < 0.5 * 20_000**2 and compared[1] < 48 * compared[0]
+    for n in (10**5, 10**6, 10**7, 5 * 10**7):
+        route = directions.routes(64, n, hnsw.THRESHOLD, directions.READ_ROWS)
+        assert n * route.posts / route.cells < hnsw.SHARD_ROWS and route.posts <= 6
+
+
+@pytest.mark.parametrize("dim", [3, 24, 64, 300])
+def test_pairs_at_the_threshold_meet(dim):
+    """In a crowd around one direction too: what pairs meet doesn't depend on where the data lie."""
+    rng = np.random.default_rng(dim)
+    x = unit_rows(rng.normal(size=(1, dim)) + 0.3 * rng.normal(size=(3000, dim)) / np.sqrt(dim))
+    aside = rng.normal(size=x.shape)
+    aside = unit_rows(aside - (aside * x).sum(1, keepdims=True) * x)
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * aside
+    for n in (50_000, 2_000_000):
+        route = directions.routes(dim, n, hnsw.THRESHOLD, directions.READ_ROWS)
+        met = (route.of(x.astype(np.float32))[:, :, None] == route.of(y.astype(np.float32))[:, None]).any((1, 2))
+        assert route.cells > 1 and met.mean() >= 0.95
+
+
+def test_shards_by_direction_against_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    x = unit_rows(rng.normal(size=(10_000, 64)))
+    copies = unit_rows(x[:1500] + rng.uniform(0.1, 0.33, size=(1500, 1)) * rng.normal(size=(1500, 64)) / 8)
+    group = rng.normal(size=(1, 64)) + 0.15 * rng.normal(size=(600, 64))
+    rows = np.concatenate([x, copies, group, group[:1].repeat(900, 0)]).astype(np.float32)
+    ids = rng.permutation(len(rows)).tolist()
+    near, want = brute_embeddings(dict(zip(ids, rows.tolist())), hnsw.THRESHOLD)
+    e = spark.createDataFrame(list(zip(ids, rows.tolist())), "vec_id long, embedding array<float>")
+    planted = set(ids[:11_500])
+    pairs = [p for p in near if planted >= set(p)]
+    assert len(pairs) > 1200
+    for shard_rows in (hnsw.SHARD_ROWS, 2000):  # with 2,000 the repeated vectors crowd their shards
+        got = {r.vec_id: r.group_id for r in hnsw.near_groups(e, shard_rows=shard_rows).collect()}
+        assert set(got) == set(want)
+        assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+        assert len({got[i] for i in ids[11_500:]}) == 1
+        assert all(want[i] == want[g] for i, g in got.items())  # nothing that isn't near is joined
+
+
+def test_pairs_that_codes_leave_open(spark):
+    """Cosines closer to the threshold than 16-bit numbers tell."""
+    rng = np.random.default_rng(13)
+    x = unit_rows(rng.normal(size=(300, 64)))
+    aside = rng.normal(size=x.shape)
+    aside = unit_rows(aside - (aside * x).sum(1, keepdims=True) * x)
+    cosine = hnsw.THRESHOLD + np.linspace(-1e-4, 1e-4, 300)[:, None]
+    rows = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * aside]).astype(np.float32)
+    code, off = directions.unpacked(directions.packed(rows.astype(float)))
+    assert np.abs(code @ code.T - unit_rows(rows.astype(float)) @ unit_rows(rows.astype(float)).T).max() <= off
+    a, b, sure = directions.shard_pairs(np.arange(600), directions.packed(rows.astype(float)), hnsw.THRESHOLD, hnsw.SLACK, 0)
+    assert (~sure).sum() > 200
+    near, want = brute_embeddings(dict(enumerate(rows.tolist())), hnsw.THRESHOLD)
+    e = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<float>")
+    assert 100 < len(near) < 200
+    assert {r.vec_id: r.group_id for r in hnsw.near_groups(e).collect()} == want
