@@ -1,7 +1,10 @@
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from searchmill.functions import markup
 from searchmill.operators import extract as X
 
@@ -71,3 +74,27 @@ def test_markup():
     got = list(markup.tokens("a<!-- x --><B C='1>2' c=3 d>t&amp;</b ><br/><script x>if (a<b) '</p>'</script>z<i", frozenset(("script",))))
     assert got == [("text", "a", ""), ("open", "b", " C='1>2' c=3 d"), ("text", "t&amp;", ""), ("close", "b", ""), ("alone", "br", "/"), ("open", "script", " x"), ("raw", "script", "if (a<b) '</p>'"), ("text", "z", ""), ("text", "<i", "")]
     assert markup.attributes(" C='1>2' c=3 d e = \"&amp;\"") == {"c": "1>2", "d": "", "e": "&"}
+
+
+CUT = """<!DOCTYPE html><html lang="en"><head><title>A &amp; B &amp</title></head><body><article><h1>A &amp; B &quot</h1><p>x &copy; y &am &ltz &amp;lt; &nosuch;</p><a href="/q?a=1&copy=2">l</a></article></body></html>"""
+
+
+@pytest.fixture(scope="module")
+def cut_pages(spark, tmp_path_factory):
+    """Pages with entities cut off before their semicolon."""
+    d = tmp_path_factory.mktemp("cut")
+    spark.createDataFrame([(1, "https://a.example.com/docs/x/y", CUT), (2, "https://a.example.com/", CUT.replace("&quot", "&qu"))], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    return d
+
+
+def _rows_and_sql(spark, d, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{d}/pages.parquet/*.parquet')")
+    rel = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in rel.description]
+    return sorted(map(repr, map(tuple, entry.queries()[name](spark, str(d)).select(*columns).collect()))), sorted(map(repr, rel.fetchall()))
+
+
+def test_body_keeps_cut_entities_as_its_sql_does(spark, cut_pages):
+    ours, theirs = _rows_and_sql(spark, cut_pages, "extract_body")
+    assert ours == theirs and "x © y &am &ltz &lt; &nosuch;" in ours[0]
