@@ -98,3 +98,8 @@ def _rows_and_sql(spark, d, name):
 def test_body_keeps_cut_entities_as_its_sql_does(spark, cut_pages):
     ours, theirs = _rows_and_sql(spark, cut_pages, "extract_body")
     assert ours == theirs and "x © y &am &ltz &lt; &nosuch;" in ours[0]
+
+
+def test_headings_keep_cut_entities_as_their_sql_does(spark, cut_pages):
+    ours, theirs = _rows_and_sql(spark, cut_pages, "extract_headings")
+    assert ours == theirs and "A & B &quot" in ours[0]
