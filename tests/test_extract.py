@@ -108,3 +108,8 @@ def test_headings_keep_cut_entities_as_their_sql_does(spark, cut_pages):
 def test_title_keeps_cut_entities_as_its_sql_does(spark, cut_pages):
     ours, theirs = _rows_and_sql(spark, cut_pages, "extract_title")
     assert ours == theirs and "A & B &amp" in ours[0]
+
+
+def test_records_keep_cut_entities_as_their_sql_does(spark, cut_pages):
+    ours, theirs = _rows_and_sql(spark, cut_pages, "parse_pages")
+    assert ours == theirs and "/q?a=1&copy=2" in ours[0]
