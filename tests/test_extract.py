@@ -1,6 +1,9 @@
+import gc
 import time
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,38 @@ def test_title_keeps_cut_entities_as_its_sql_does(spark, cut_pages):
 def test_records_keep_cut_entities_as_their_sql_does(spark, cut_pages):
     ours, theirs = _rows_and_sql(spark, cut_pages, "parse_pages")
     assert ours == theirs and "/q?a=1&copy=2" in ours[0]
+
+
+def test_memory_does_not_grow_with_the_pages_of_a_batch():
+    page = "<html><body><main>" + "<p>some words of a page <a href='/x'>x</a></p>" * 400 + "</main></body></html>"
+
+    def peak(n: int) -> int:
+        tracemalloc.start()
+        got = X._records(pa.array(["https://example.com/a"] * n), pa.array([page] * (n - 1) + [None]))
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == n and got[0]["body"].as_py() == got[n - 2]["body"].as_py() != "" == got[n - 1]["body"].as_py()
+        return out
+
+    X._records(pa.array([], pa.string()), pa.array([], pa.string()))
+    assert peak(320) < 1.5 * peak(40)
+
+
+def test_a_parsed_page_is_freed_at_once():
+    gc.collect()
+    gc.disable()
+    try:
+        X.parse("https://example.com/a", PAGE)
+        assert not any(isinstance(o, X.Node) for o in gc.get_objects())
+    finally:
+        gc.enable()
+
+
+def test_pages_come_in_small_batches(spark):
+    was = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        X.record(F.col("url"), F.col("html"))
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", was)
