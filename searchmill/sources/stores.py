@@ -66,11 +66,15 @@ def write_documents(parsed: DataFrame, base: str, version: str) -> tuple[str, st
 
 
 def write_index(docs: DataFrame, base: str, version: str, buckets: int = 64) -> tuple[str, str]:
-    """Stored fields, and postings laid out by a hash of the term, so that a query reads the buckets of its terms only."""
+    """Stored fields, and postings laid out by a hash of the term, so that a query reads the buckets of its terms only.
+
+    Rebalanced by bucket: adaptive execution writes a bucket that is larger than its
+    advisory size in several tasks, so a term of most documents isn't one task's work.
+    """
     stored = write_snapshot(docs, f"{base}/docs", version)
     p = S.postings(docs.sparkSession.read.parquet(stored)).withColumn("bucket", bucket(F.col("term"), buckets))
     path = f"{base}/postings/version={version}"
-    p.repartition(buckets, "bucket").sortWithinPartitions("term", "id").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+    p.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "id").write.mode("errorifexists").partitionBy("bucket").parquet(path)
     return stored, path
 
 

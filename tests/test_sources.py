@@ -67,6 +67,27 @@ def test_index_reads_only_its_buckets(spark, tmp_path):
         stores.write_index(docs, str(tmp_path), "1", buckets=8)
 
 
+def test_postings_of_a_frequent_term_are_written_by_many_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("the w"), (F.col("id") * i % 997).cast("string"))), " ")
+    docs = spark.range(0, 4000, 1, 8).select("id", F.lit("").alias("title"), F.lit("").alias("section_path"), F.lit("").alias("meta_description"), words.alias("body"), F.array().cast("array<string>").alias("tags"))
+    was, split = spark.conf.get(size), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(size, "32k")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        _, path = stores.write_index(docs, str(tmp_path), "1", buckets=8)
+    finally:
+        spark.conf.set(size, was)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    the = stores.read_postings(spark.read.parquet(path), ["the"], buckets=8)
+    rows = the.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert sum(r["count"] for r in rows) == the.select("id", "pos").distinct().count() == 80_000
+    assert len(rows) > 2 and max(r["count"] for r in rows) < 40_000
+    for r in rows:
+        terms = [x.term for x in spark.read.parquet(r.f).collect()]
+        assert terms == sorted(terms)
+
+
 def test_robots(spark):
     frontier = spark.createDataFrame([("http://a/x", "a"), ("http://a/private/y", "a"), ("http://b/", "b"), ("http://c/", "c")], "url string, domain string")
     robots = spark.createDataFrame([("a", "User-agent: *\nDisallow: /private"), ("b", "")], "domain string, robots string")
